@@ -82,13 +82,11 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~_SEPARATOR[raw]
-    head = np.ones(len(raw) + 1, dtype=bool)  # a word may begin here: start of text or after a separator
-    head[1:] = ~np.append(inside[:-1], False)[: len(raw)] if len(raw) == 1 else np.concatenate([~inside[:-1], [True]])
-    head[offsets] = True
-    starts = np.flatnonzero(inside & head[:-1])
-    tail = np.concatenate([~inside[1:], [True]])  # a word may end after here
-    tail[offsets[(offsets > 0)] - 1] = True
-    ends = np.flatnonzero(inside & tail) + 1
+    border = np.zeros(len(raw) + 1, dtype=bool)  # between two texts no word goes on
+    border[offsets] = True
+    before = np.concatenate([[True], ~inside[:-1]]) | border[:-1]
+    after = np.concatenate([~inside[1:], [True]]) | border[1:]
+    starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -105,7 +103,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
         full = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         full[0] = 1
         known = np.multiply.accumulate(full)
-        _powers[base] = known if len(known) <= 1 << 23 else _powers.get(base, known[: 1 << 16].copy())
+        if len(known) <= 1 << 23:
+            _powers[base] = known
     return known[:n]
 
 
@@ -118,16 +117,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word from prefix sums of a byte polynomial, all words at once."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    weighted = _BYTE_CODE[raw]
-    weighted *= _power_table(_BASE, len(raw))
-    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(weighted, out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * _power_table(_BASE_INVERSE, len(raw))[starts]
-    return mix64(value + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of every word from prefix sums of a byte polynomial, many words at once.
+
+    Works through the bytes in pieces of about ``piece``, so memory does not follow the length of a text.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + piece, side="right")))
+        s, e = starts[at:to] - low, ends[at:to] - low
+        weighted = _BYTE_CODE[raw[low : ends[to - 1]]]
+        weighted *= _power_table(_BASE, len(weighted))
+        prefix = np.zeros(len(weighted) + 1, dtype=np.uint64)
+        np.cumsum(weighted, out=prefix[1:])
+        value = (prefix[e] - prefix[s]) * _power_table(_BASE_INVERSE, len(weighted))[s]
+        out[at:to] = mix64(value + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
