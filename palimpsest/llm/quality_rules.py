@@ -1,15 +1,13 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Six rules over statistics of the whole text vote good, bad or abstain.  The counts of the vote patterns (at most
-``3 ** 6`` rows whatever the corpus) are all that expectation-maximisation needs: it estimates, for each rule, how
+Seven rules over statistics of the whole text vote good, bad or abstain.  The counts of the vote patterns (at most
+``3 ** 7`` rows whatever the corpus) are all that expectation-maximisation needs: it estimates, for each rule, how
 often it votes bad on bad and good on good documents, and the share of good ones.  A document is kept if its
 posterior probability of being good reaches a threshold, so one doubtful sign does not reject it.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
@@ -18,9 +16,10 @@ SYMBOLS = r"[#*$%&|<>]"
 UPPER = "[A-ZÀ-ÖØ-Þ]"
 GRAM = 8
 ABSTAIN, GOOD, BAD = 0, 1, 2
-RULES = ("symbols", "shouting", "repeated_words", "repeated_lines", "word_length", "variety")
+RULES = ("symbols", "density", "shouting", "repeated_words", "repeated_lines", "word_length", "variety")
 #: Start of the estimation: a share of good documents, and how reliable votes are.
-PRIOR_GOOD, START_ACCURACY, ROUNDS, SMOOTHING = 0.8, 0.8, 20, 1.0
+#: Rules are written to spare good documents, and a bad document usually fails only some of them.
+PRIOR_GOOD, START_ON_GOOD, START_ON_BAD, ROUNDS, SMOOTHING = 0.85, 0.995, 0.4, 20, 1.0
 KEEP_AT = 0.5
 
 
@@ -71,9 +70,10 @@ def _vote(bad: str, good: str) -> str:
 #: SQL that both engines read, over the counts.  A text of few words gives little to judge: most rules abstain.
 VOTES = {
     "symbols": _vote("n_words > 0 AND 10 * n_symbols > n_words", "n_words >= 20 AND 50 * n_symbols <= n_words"),
+    "density": _vote("50 * n_symbols > word_chars", "n_words >= 20 AND 400 * n_symbols <= word_chars"),
     "shouting": _vote("n_words >= 10 AND 2 * n_upper > word_chars", "n_words >= 10 AND 5 * n_upper <= word_chars"),
-    "repeated_words": _vote("n_words >= 20 AND 5 * n_repeat_words > n_words", "n_words >= 20 AND 20 * n_repeat_words <= n_words"),
-    "repeated_lines": _vote("n_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_lines >= 3 AND 10 * n_dup_lines <= n_lines"),
+    "repeated_words": _vote("n_words >= 20 AND 4 * n_repeat_words > n_words", "n_words >= 20 AND 20 * n_repeat_words <= n_words"),
+    "repeated_lines": _vote("n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines", "n_lines >= 3 AND 10 * n_dup_lines <= n_lines"),
     "word_length": _vote("n_words >= 20 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words)", "n_words >= 20 AND word_chars BETWEEN 3 * n_words AND 11 * n_words"),
     "variety": _vote("n_words >= 50 AND 20 * n_distinct < n_words", "n_words >= 50 AND 10 * n_distinct >= n_words"),
 }
@@ -85,7 +85,7 @@ def estimate(counts: dict[int, int]) -> dict[int, float]:
     """Posterior probability of good for each vote pattern (base 3, first rule lowest) by expectation-maximisation."""
     patterns = sorted(counts)
     votes = {p: [p // 3**k % 3 for k in range(len(RULES))] for p in patterns}
-    good, on_good, on_bad = PRIOR_GOOD, [START_ACCURACY] * len(RULES), [START_ACCURACY] * len(RULES)
+    good, on_good, on_bad = PRIOR_GOOD, [START_ON_GOOD] * len(RULES), [START_ON_BAD] * len(RULES)
 
     def posterior() -> dict[int, float]:
         out = {}
@@ -111,7 +111,7 @@ def estimate(counts: dict[int, int]) -> dict[int, float]:
 
 
 def _fit(patterns: DataFrame) -> Column:
-    """The posterior as a column over ``pattern``; the driver sees one row per vote pattern, at most 729."""
+    """The posterior as a column over ``pattern``; the driver sees one row per vote pattern, at most 2187."""
     counts = {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = estimate(counts)
     return F.element_at(F.array(*(F.lit(float(found.get(p, PRIOR_GOOD))) for p in range(3 ** len(RULES)))), F.col("pattern") + 1)
@@ -148,7 +148,7 @@ def _oracle() -> str:
     """The same in SQL with the estimation unrolled: one round is one common table."""
     vote = lambda k: f"(pattern // {3**k}) % 3"
     posterior = lambda t: "SELECT p.pattern, p.n, (m.good * " + " * ".join(f"CASE {vote(k)} WHEN {GOOD} THEN m.g{k} WHEN {BAD} THEN 1 - m.g{k} ELSE 1.0::DOUBLE END" for k in range(len(RULES))) + ") AS a, ((1 - m.good) * " + " * ".join(f"CASE {vote(k)} WHEN {BAD} THEN m.b{k} WHEN {GOOD} THEN 1 - m.b{k} ELSE 1.0::DOUBLE END" for k in range(len(RULES))) + f") AS b FROM counts p, {t} m"
-    rounds = ["m0 AS MATERIALIZED (SELECT " + ", ".join([f"{PRIOR_GOOD}::DOUBLE AS good"] + [f"{START_ACCURACY}::DOUBLE AS {s}{k}" for s in "gb" for k in range(len(RULES))]) + ")"]
+    rounds = ["m0 AS MATERIALIZED (SELECT " + ", ".join([f"{PRIOR_GOOD}::DOUBLE AS good"] + [f"{START_ON_GOOD}::DOUBLE AS g{k}, {START_ON_BAD}::DOUBLE AS b{k}" for k in range(len(RULES))]) + ")"]
     for r in range(ROUNDS):
         share = lambda k, v, w: f"coalesce(sum(n * ({w})) FILTER (WHERE {vote(k)} = {v}), 0)"
         cells = [f"(sum(n * q) + {SMOOTHING}) / (sum(n) + {2 * SMOOTHING}) AS good"]
