@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -77,11 +78,14 @@ def binary_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of every word, and for each text the index of its first word (n + 1 entries)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of every word, and for each text the index of its first word (n + 1 entries).
+
+    ``separator`` says for each of the 256 byte values whether it parts words.
+    """
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATOR[raw]
+    inside = ~separator[raw]
     border = np.zeros(len(raw) + 1, dtype=bool)  # between two texts no word goes on
     border[offsets] = True
     before = np.concatenate([[True], ~inside[:-1]]) | border[:-1]
@@ -153,3 +157,35 @@ def gram_hashes(words: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np
 def runs(total: int, lengths: np.ndarray) -> np.ndarray:
     """0..lengths[i]-1 for each i, concatenated."""
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def pieces(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
+    """Consecutive slices of a batch whose texts have about ``size`` bytes each (a longer text is alone)."""
+    offsets = binary_parts(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def per_worker(key, build):
+    """A value built once in each Python worker, whatever the number of tasks it serves."""
+    kept = sys.modules["builtins"].__dict__.setdefault("_palimpsest_kept", {})
+    if key not in kept:
+        if len(kept) >= 8:
+            kept.clear()
+        kept[key] = build()
+    return kept[key]
+
+
+def train_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text`` and ``y`` of at most ``rows`` labelled documents outside the held-out part, the same at every run.
+
+    The ids are chosen by a hash, so the choice does not follow the order of the table; their number is the bound that
+    makes the join a broadcast.
+    """
+    own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).dropna()
+    chosen = own.filter(~is_held_out(F.col("_id"))).orderBy(F.xxhash64("_id", F.lit(7)), "_id", "y").limit(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), texts["_own"] == chosen["_id"]).select("text", "y")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, revisit, sharding, simhash, substring_dedup
+from . import decontamination, mixing, quality_classifier, quality_rules, revisit, sharding, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,31 @@ UNION ALL
 SELECT record_id, url_key, ts, 'revisit', outcome, source_id, CASE WHEN outcome = 'resolved' THEN length(body) END, CASE WHEN outcome = 'resolved' THEN md5(body) END,
        CASE WHEN outcome = 'resolved' THEN concat_ws(';', 'content-length=' || length(body), 'content-type=text/html', 'date=' || date, 'etag=' || etag, 'last-modified=' || day)
             ELSE concat_ws(';', 'content-length=0', 'date=' || date, 'etag=' || etag, 'set-cookie=x=1') END FROM o"""
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

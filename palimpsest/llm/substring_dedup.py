@@ -252,8 +252,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be positive")
     spark, block = docs.sparkSession, (window + 1) // 2
     total, wide = text_bytes(docs, text_col), shuffle_partitions(docs.sparkSession)
-    groups = max(4 * wide, -(-total // group_bytes))
-    bits = max(4 * wide, total >> 19, 256).bit_length()
+    groups = max(wide, -(-total // group_bytes))
+    bits = max(2 * wide, total >> 19, 64).bit_length()
     bits = min(bits, 20)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = own.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text")), F.lit(groups)).alias("gid"), "doc_id", "text")
