@@ -13,11 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_parts, is_held_out, pieces, train_rows, word_hashes, word_spans
+from .common import binary_parts, is_held_out, materialize, mix64, pieces, train_rows, word_hashes, word_spans
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 20_000
 HASH_BITS, WORDS, MIN_DOCS = 20, 4096, 4
-STEPS, RATE, L2 = 200, 0.1, 1e-4
+PREFIXES = (6, 7, 8)  # bytes of a word's beginning, for languages that compound
+SCREEN = 12.0  # least chi-square of a feature's documents against the share of the label
+STEPS, RATE, L2 = 200, 0.1, 1e-5
 OFFENDING = 0.5
 
 _PARTS = np.ones(256, bool)  # bytes between words: all but letters, digits and other alphabets
@@ -29,18 +31,24 @@ _LOWER[65:91] += 32
 
 
 class _Bags:
-    """Words of many texts: hashed word, sentence (numbered through all texts) and text of each."""
+    """Features of many texts, which are hashed words and beginnings of words: value, sentence (numbered through all
+    texts) and text of each."""
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray):
         raw, self.offsets = binary_parts(texts)
         self.raw = raw
         starts, ends, first = word_spans(raw, self.offsets, _PARTS)
         self.starts, self.ends = starts, ends
-        self.word = (word_hashes(_LOWER[raw], starts, ends) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        low = _LOWER[raw]
+        shapes = [word_hashes(low, starts, ends), *(np.where(ends - starts > k, word_hashes(low, starts, np.minimum(ends, starts + k)), np.uint64(0)) for k in PREFIXES)]
         doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(first))
         stop = np.concatenate([[0], np.cumsum(_ENDS[raw])])[starts] if len(starts) else np.zeros(0, np.int64)
         new = np.concatenate([[True], (stop[1:] != stop[:-1]) | (doc[1:] != doc[:-1])]) if len(starts) else np.zeros(0, bool)
-        self.sentence = np.cumsum(new) - 1
+        own = np.cumsum(new) - 1
+        mixed = np.concatenate([mix64(h + np.uint64(k)) for k, h in enumerate(shapes)])
+        real = np.concatenate([h != 0 for h in shapes])
+        self.word = (mixed[real] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        self.sentence = np.tile(own, len(shapes))[real]
         self.first = np.flatnonzero(new)
         self.doc = doc[self.first]  # of each sentence
 
@@ -63,26 +71,16 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Model:
-    """Minimise the noisy-or loss by Adam over the words that tell the labels apart.
+def fit(words: np.ndarray, column: np.ndarray, row: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Model:
+    """Minimise the noisy-or loss by Adam.
 
-    ``word`` and ``sentence`` are of each word, ``doc`` of each sentence, ``y`` of each document.  Without both
-    classes no word has a weight and the bias alone is fitted to nothing: every sentence gets a low score.
+    ``words`` are the features in order; ``column`` and ``row`` say which feature stands in which sentence, ``doc`` gives
+    the document of each sentence and ``y`` the label of each document.  With no documents or one class only, no
+    feature has a weight and every sentence gets the same extreme score.
     """
     n, n_s = len(y), len(doc)
     if len(np.unique(y)) < 2:
-        return Model(-8.0 if not y.any() else 8.0, np.zeros(0, np.int64), np.zeros(0))
-    seen = np.unique(doc[sentence] * (1 << HASH_BITS) + word)
-    seen_word, seen_y = seen & ((1 << HASH_BITS) - 1), y[seen >> HASH_BITS]
-    pos = np.bincount(seen_word, weights=seen_y, minlength=1 << HASH_BITS)
-    all_ = np.bincount(seen_word, minlength=1 << HASH_BITS)
-    rate = y.mean()
-    strength = np.where(all_ >= MIN_DOCS, (pos - all_ * rate) ** 2 / np.maximum(all_ * rate * (1 - rate), 1e-9), 0)
-    words = np.sort(np.argsort(-strength, kind="stable")[:WORDS])
-    words = words[strength[words] > 4]
-    at = np.searchsorted(words, word)
-    hit = np.append(words, -1)[at] == word
-    column, row = at[hit], sentence[hit]
+        return Model(8.0 if y.any() else -8.0, np.zeros(0, np.int64), np.zeros(0))
     theta = np.zeros(len(words) + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -98,32 +96,55 @@ def fit(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray,
     return Model(float(theta[-1]), words, theta[:-1].copy())
 
 
+def _telling(rows: DataFrame) -> np.ndarray:
+    """The features whose documents are labelled unlike the rest, at most ``WORDS``, by a distributed count."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, 0):
+                bags = _Bags(batch.column(0))
+                seen = np.unique(bags.doc[bags.sentence] << HASH_BITS | bags.word) if len(bags.word) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((seen & ((1 << HASH_BITS) - 1)).astype(np.int32)), batch.column(1).take(pa.array(seen >> HASH_BITS))], ["word", "y"])
+
+    n, rate = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("y"), F.lit(0.0))).first()
+    if not n or rate in (0.0, 1.0):
+        return np.zeros(0, np.int64)
+    counts = rows.mapInArrow(run, "word int, y int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).filter(F.col("n") >= MIN_DOCS)
+    off = F.col("pos") - F.col("n") * rate
+    ranked = counts.withColumn("s", off * off / (F.col("n") * rate * (1 - rate))).filter(F.col("s") > SCREEN).orderBy(F.desc("s"), "word").limit(WORDS)
+    return np.sort(np.array([r["word"] for r in ranked.select("word").collect()], np.int64))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out part; their hashed words reach the driver."""
+    """Fit on at most ``rows`` labelled documents outside the held-out part.
+
+    The driver sees the telling features (at most ``WORDS``) and where they stand in those documents, not the texts.
+    """
+    sample = materialize(train_rows(docs, labels, label, rows, id_col, text_col), "labelled")
+    words = _telling(sample)
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 0):
                 bags = _Bags(batch.column(0))
-                words = np.bincount(bags.doc[bags.sentence], minlength=batch.num_rows) if len(bags.word) else np.zeros(batch.num_rows, np.int64)
-                edges = pa.array(np.concatenate([[0], np.cumsum(words)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(edges, pa.array(a.astype(np.int32))) for a in (bags.word, bags.sentence)]
-                yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], ["words", "sentences", "y"])
-
-    got = train_rows(docs, labels, label, rows, id_col, text_col).mapInArrow(run, "words array<int>, sentences array<int>, y int").toArrow()
-    word, sentence, doc, y, at = [], [], [], [], 0
-    found = sorted(zip(got.column("words").to_pylist(), got.column("sentences").to_pylist(), got.column("y").to_pylist()), key=lambda r: (r[2], len(r[0]), r[0]))
-    for i, (w, s, label_) in enumerate(found):
-        w, s = np.array(w, np.int64), np.array(s, np.int64)
-        if len(s):
-            own = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-            word.append(w)
-            sentence.append(own + at)
-            doc.append(np.full(own[-1] + 1, i))
-            at += own[-1] + 1
-        y.append(float(label_))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return fit(join(word), join(sentence), join(doc), np.array(y), steps)
+                at = np.searchsorted(words, bags.word)
+                hit = np.flatnonzero(np.append(words, -1)[at] == bags.word)
+                hit = hit[np.argsort(bags.sentence[hit], kind="stable")]
+                n = np.bincount(bags.doc[bags.sentence[hit]], minlength=batch.num_rows) if len(hit) else np.zeros(batch.num_rows, np.int64)
+                edges = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                n_sentences = np.bincount(bags.doc, minlength=batch.num_rows)
+                first = np.cumsum(n_sentences) - n_sentences
+                place = bags.sentence[hit] - first[bags.doc[bags.sentence[hit]]] if len(hit) else np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays(edges, pa.array(a.astype(np.int32))) for a in (at[hit], place)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(n_sentences.astype(np.int32)), batch.column(1)], ["columns", "places", "n", "y"])
+
+    got = sample.mapInArrow(run, "columns array<int>, places array<int>, n int, y int").toArrow().to_pydict()
+    found = sorted(zip(got["y"], got["n"], got["columns"], got["places"]))  # the model must not depend on the order of rows
+    n = np.array([f[1] for f in found], np.int64)
+    first = np.cumsum(n) - n
+    flat = lambda parts: np.concatenate([np.array(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+    column, row = flat([f[2] for f in found]), flat([np.array(f[3], np.int64) + a for f, a in zip(found, first)])
+    return fit(words, column, row, np.repeat(np.arange(len(n)), n), np.array([float(f[0]) for f in found]), steps)
 
 
 SCORES = "doc_id long, score double, predicted int, offending array<struct<start:int,stop:int,score:double>>"
