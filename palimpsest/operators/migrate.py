@@ -77,10 +77,10 @@ def migrate(store: Store, new: Schema, defaults: dict[tuple[str, str], object] |
         rows = store.rows(name, base)
         for element, p in change.removed_properties:
             if element == name:
-                rows = rows.drop(p.name)
+                rows = rows.drop(f"p_{p.name}")
         for element, p in change.added_properties:
             if element == name:
-                rows = rows.withColumn(p.name, F.lit(defaults.get((name, p.name))).cast(p.spark))
+                rows = rows.withColumn(f"p_{p.name}", F.lit(defaults.get((name, p.name))).cast(p.spark))
         replace_rows(after, name, rows, base + 1)
     after._publish(base + 1, sorted(touched))
     return after

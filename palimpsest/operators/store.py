@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ranges as R
-from ..plans.graph import Elements, Graph
-from ..plans.schema import Edge, Node, Property, Schema
+from ..plans.graph import Elements, Graph, Lazy
+from ..plans.schema import Edge, Node, Schema
 
 MODES = ("full", "incremental")
 
@@ -210,9 +210,8 @@ class Store:
     # -- reading
     def read(self, version: int | None = None) -> Graph:
         at = self.version() if version is None else version
-        nodes = {n.name: self._elements(n, at) for n in self.schema.nodes}
-        edges = {e.name: self._elements(e, at) for e in self.schema.edges}
-        return Graph(self.schema, nodes, edges)
+        opener = lambda e: lambda: self._elements(e, at)
+        return Graph(self.schema, Lazy({n.name: opener(n) for n in self.schema.nodes}), Lazy({e.name: opener(e) for e in self.schema.edges}), self.spark)
 
     def _elements(self, e: Node | Edge, at: int) -> Elements:
         if isinstance(e, Edge) and self.schema.is_key_edge(e.name):
@@ -223,12 +222,12 @@ class Store:
         table = rows.groupBy(*keys).agg(R.normalize(F.collect_list(span)).alias("rs"), *(R.history(F.collect_list(F.struct("f", "t", F.col(f"`{c}`").alias("v")))).alias(c) for c in data))
         if isinstance(e, Node):
             names = {p.name: c for c, (label, p) in zip(keys, self.schema.key_columns(e.name)) if label == p.name}
-            own = [F.col(c).alias(n) for n, c in names.items()]
+            own = [F.col(c).alias(f"p_{n}") for n, c in names.items()]
             table = table.select(element_id(e.name, [F.col(k) for k in keys]).alias("id"), "rs", *keys, *own, *data)
-            return Elements(table, False, frozenset(names), tuple(names) + tuple(data))
+            return Elements(table, False, frozenset(names), tuple(names) + tuple(p.name for p in e.data))
         s, d = [k for k in keys if k[0] == "s"], [k for k in keys if k[0] == "d"]
         table = table.select(element_id(e.name, [F.col(k) for k in keys]).alias("id"), element_id(e.source, [F.col(k) for k in s]).alias("src"), element_id(e.target, [F.col(k) for k in d]).alias("dst"), "rs", *data)
-        return Elements(table, False, frozenset(), tuple(data))
+        return Elements(table, False, frozenset(), tuple(p.name for p in e.data))
 
     def _key_edges(self, e: Edge, at: int) -> Elements:
         """Edges that are part of an identity live as long as their node."""

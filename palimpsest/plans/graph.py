@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType
 
 from ..functions import ranges as R
 from .schema import Schema
@@ -15,7 +17,7 @@ class Elements:
     """Rows of one element type.
 
     ``df`` has ``id`` (``src`` and ``dst`` too for edges), validity either as one range in ``f``, ``t`` (``single``) or
-    as a range set ``rs``, and a column for each property: a plain value that holds as long as the element (listed in
+    as a range set ``rs``, and a column ``p_<name>`` for each property: a plain value that holds as long as the element (listed in
     ``constant``) or a history.
     """
 
@@ -28,16 +30,35 @@ class Elements:
         return F.array(R.span(F.col("f"), F.col("t"))) if self.single else F.col("rs")
 
 
+class Lazy(Mapping):
+    """Tables by type name that are opened when a plan first reads them."""
+
+    def __init__(self, openers: dict[str, Callable[[], Elements]]):
+        self._openers, self._opened = openers, {}
+
+    def __getitem__(self, name: str) -> Elements:
+        if name not in self._opened:
+            self._opened[name] = self._openers[name]()
+        return self._opened[name]
+
+    def __iter__(self):
+        return iter(self._openers)
+
+    def __len__(self) -> int:
+        return len(self._openers)
+
+
 @dataclass(frozen=True)
 class Graph:
     schema: Schema
-    nodes: dict[str, Elements]
-    edges: dict[str, Elements]
-    names: dict[str, tuple[str, str]] = field(default_factory=dict)
+    nodes: Mapping[str, Elements]
+    edges: Mapping[str, Elements]
+    spark: SparkSession
 
     @property
-    def spark(self) -> SparkSession:
-        return next(iter((self.nodes | self.edges).values())).df.sparkSession
+    def id_type(self) -> DataType:
+        tables = self.nodes or self.edges
+        return tables[next(iter(tables))].df.schema["id"].dataType
 
     def _slice(self, of: Elements, versions) -> DataFrame:
         """Rows valid in any of ``versions`` (range pairs) with ``rs`` cut to them; one range stays a pushed filter."""
@@ -61,7 +82,7 @@ class Graph:
     def node_by_key(self, name: str, **key) -> DataFrame:
         out = self.nodes[name].df
         for column, value in key.items():
-            out = out.filter(F.col(column).eqNullSafe(F.lit(value)))
+            out = out.filter(F.col(f"p_{column}").eqNullSafe(F.lit(value)))
         return out
 
     def edge_between(self, name: str, source, target) -> DataFrame:
@@ -69,13 +90,13 @@ class Graph:
 
     def versions(self, name: str) -> DataFrame:
         """``id`` and the range set of every element of a type, with whether it holds at the head."""
-        of = self.nodes.get(name) or self.edges[name]
+        of = (self.nodes if name in self.nodes else self.edges)[name]
         return of.df.select("id", of.rs().alias("rs"), R.valid_at_head(of.rs()).alias("at_head"))
 
     def history(self, name: str, prop: str) -> DataFrame:
         """``id`` and the full history of a property."""
-        of = self.nodes.get(name) or self.edges[name]
-        return of.df.select("id", (R.stamp(of.rs(), F.col(prop)) if prop in of.constant else F.col(prop)).alias("history"))
+        of = (self.nodes if name in self.nodes else self.edges)[name]
+        return of.df.select("id", (R.stamp(of.rs(), F.col(f"p_{prop}")) if prop in of.constant else F.col(f"p_{prop}")).alias("history"))
 
     def type_counts(self) -> DataFrame:
         """Elements of each type that ever were, without the edges that are part of a node's identity."""

@@ -109,12 +109,12 @@ class Schema:
         return ends + [(p.name, p) for p in e.properties]
 
     def table_columns(self, element: str) -> tuple[list[tuple[str, Property]], list[tuple[str, Property]]]:
-        """Key columns by position (``k0..`` of a node, ``s0..`` and ``d0..`` of an edge's ends) and data columns."""
+        """Key columns by position (``k0..`` of a node, ``s0..`` and ``d0..`` of an edge's ends) and data columns (``p_<name>``)."""
         e = self.element(element)
         if isinstance(e, Node):
-            return [(f"k{i}", p) for i, (_, p) in enumerate(self.key_columns(element))], [(p.name, p) for p in e.data]
+            return [(f"k{i}", p) for i, (_, p) in enumerate(self.key_columns(element))], [(f"p_{p.name}", p) for p in e.data]
         ends = [(f"{side}{i}", p) for side, end in (("s", e.source), ("d", e.target)) for i, (_, p) in enumerate(self.key_columns(end))]
-        return ends, [(p.name, p) for p in e.properties]
+        return ends, [(f"p_{p.name}", p) for p in e.properties]
 
     def parents(self, node: str) -> Iterator[tuple[str, str, int]]:
         """Key edges of a node type: edge, parent type and the offset of the parent's key in the flattened key."""
@@ -141,6 +141,8 @@ def validate(schema: Schema) -> None:
         if e.from_card not in CARDINALITIES or e.to_card not in CARDINALITIES:
             raise SchemaError(f"{e.name}: unknown cardinality")
     for place, n in enumerate(schema.nodes):
+        if len({p.name for p in n.properties}) != len(n.properties):
+            raise SchemaError(f"{n.name}: property names must be unique")
         if not n.key:
             raise SchemaError(f"{n.name}: a node needs an identity")
         own = {p.name for p in n.properties}

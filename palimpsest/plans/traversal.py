@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ranges as R
 from ..operators.tables import materialize
@@ -76,7 +76,7 @@ class Frame:
         if self.attached:
             return self
         of = self.table()
-        own = of.df.select(F.col("id").alias("_own"), *(F.col(p).alias(f"p_{p}") for p in of.properties))
+        own = of.df.select(F.col("id").alias("_own"), *(f"p_{p}" for p in of.properties))
         base = self.df.drop(*(c for c in self.df.columns if c.startswith("p_")))
         return self.set(base.join(own, base["hid"] == own["_own"]).drop("_own"), attached=True)
 
@@ -86,15 +86,13 @@ def _element(kind: str, name: str, id_: Column, forward: bool, rs: Column) -> Co
 
 
 def _path_type(graph: Graph) -> str:
-    of = next(iter((graph.nodes | graph.edges).values()))
-    return f"array<struct<kind:string,type:string,id:{of.df.schema['id'].dataType.simpleString()},fwd:boolean,rs:{R.RANGES}>>"
+    return f"array<struct<kind:string,type:string,id:{graph.id_type.simpleString()},fwd:boolean,rs:{R.RANGES}>>"
 
 
 def start(graph: Graph) -> Frame:
     """The frame with the one empty path."""
-    id_type = next(iter((graph.nodes | graph.edges).values())).df.schema["id"].dataType
     one = graph.spark.range(1).select(
-        F.array().cast(_path_type(graph)).alias("path"), F.array().cast("array<int>").alias("branch"), F.lit(None).cast(id_type).alias("hid"),
+        F.array().cast(_path_type(graph)).alias("path"), F.array().cast("array<int>").alias("branch"), F.lit(None).cast(graph.id_type).alias("hid"),
         F.lit(0).alias("f"), F.lit(R.HEAD).alias("t"), F.lit(None).cast("int").alias("result"),
     )
     return Frame(graph, one, start=True)
@@ -290,7 +288,7 @@ def _scan(kind: str, name: str) -> Traversal:
         if name not in tables:
             raise TraversalError(f"no {kind} type {name}")
         of = tables[name]
-        own = of.df.select(F.col("id").alias("_id"), *([F.col("f").alias("_f"), F.col("t").alias("_t")] if of.single else [F.col("rs").alias("_rs")]), *(F.col(p).alias(f"p_{p}") for p in of.properties))
+        own = of.df.select(F.col("id").alias("_id"), *([F.col("f").alias("_f"), F.col("t").alias("_t")] if of.single else [F.col("rs").alias("_rs")]), *(f"p_{p}" for p in of.properties))
         before = frame.df.drop("f", "t", "rs", "hid", "result", *(c for c in frame.df.columns if c.startswith("p_")))
         rs = F.array(R.span(F.col("_f"), F.col("_t"))) if of.single else F.col("_rs")
         item = _element(kind, name, F.col("_id"), True, rs)
@@ -322,7 +320,7 @@ def _edge_hop(name: str, forward: bool) -> Traversal:
             raise TraversalError(f"{name} does not {'start' if forward else 'end'} at {here}")
         of = frame.graph.edges[name]
         near = "src" if forward else "dst"
-        own = of.df.select(F.col("id").alias("_id"), F.col(near).alias("_near"), F.col("dst" if forward else "src").alias("_far"), *([F.col("f").alias("_f"), F.col("t").alias("_t")] if of.single else [F.col("rs").alias("_rs")]), *(F.col(p).alias(f"p_{p}") for p in of.properties))
+        own = of.df.select(F.col("id").alias("_id"), F.col(near).alias("_near"), F.col("dst" if forward else "src").alias("_far"), *([F.col("f").alias("_f"), F.col("t").alias("_t")] if of.single else [F.col("rs").alias("_rs")]), *(f"p_{p}" for p in of.properties))
         base = frame.df.drop("result", *(c for c in frame.df.columns if c.startswith("p_")))
         df = base.join(own, base["hid"] == own["_near"])
         single = frame.single and of.single
@@ -608,7 +606,7 @@ class Repeat(Traversal):
 def _scoped(frame: Frame, way: Traversal) -> tuple[str, Frame, Frame]:
     rid = f"_rid{next(_serial)}"
     entered = replace(frame, df=frame.df.withColumn(rid, _row_id()), keep=(*frame.keep, rid), order=(), start=False)
-    return rid, entered, way.run(replace(entered, start=frame.start and False))
+    return rid, entered, way.run(entered)
 
 
 def _ordering(frame: Frame) -> list[Column]:

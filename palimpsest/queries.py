@@ -46,11 +46,21 @@ def _with(sql: str) -> str:
     return f"WITH {tables}, {sql.lstrip()[4:]}" if sql.lstrip().upper().startswith("WITH") else f"WITH {tables} {sql}"
 
 
+#: Result columns that are 32-bit here and wider in SQL.
+_NARROW = {
+    **dict.fromkeys(("scan_edges", "edges_at_versions", "out_hop", "in_hop", "three_hop", "filter_value"), ("f",)),
+    **dict.fromkeys(("slice_multi", "element_versions", "property_history", "where_history", "history_extract", "history_split", "range_union", "range_intersect"), ("f", "t")),
+    **dict.fromkeys(("order_by_history_from", "order_by_history_to"), ("k",)),
+    "sql_window": ("place",),
+}
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = _with(sql)
+            narrow = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _NARROW.get(f.__name__, ()))
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({narrow}) FROM ({_with(sql)})" if narrow else _with(sql)
         return f
 
     return put
@@ -104,13 +114,13 @@ def edges_at_versions(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey = 7")
 def node_by_key(spark, sf_dir):
-    return sample_graph(spark, sf_dir).node_by_key("Customer", c_custkey=7).select("id", "c_name")
+    return sample_graph(spark, sf_dir).node_by_key("Customer", c_custkey=7).select("id", F.col("p_c_name").alias("c_name"))
 
 
 @query("SELECT src, dst, qty FROM e_contains WHERE src = 1")
 def edge_lookup(spark, sf_dir):
     g = sample_graph(spark, sf_dir)
-    return g.edges["contains"].df.filter("src = 1").select("src", "dst", "qty")
+    return g.edges["contains"].df.filter("src = 1").select("src", "dst", F.col("p_qty").alias("qty"))
 
 
 @query(f"SELECT user_id AS id, f, t, max(t = {H}) OVER (PARTITION BY user_id) AS at_head FROM u_ranges")
@@ -496,7 +506,7 @@ _USERS = Schema((Node("Account", (Property("user_id", "long"), Property("event_t
 def _days(spark, sf_dir):
     day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     last = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", day.alias("d")).agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("e"))
-    return last.select(F.col("user_id").alias("k0"), "d", "e.event_type", "e.value", F.lit(0).cast("long").alias("_n"))
+    return last.select(F.col("user_id").alias("k0"), "d", F.col("e.event_type").alias("p_event_type"), F.col("e.value").alias("p_value"), F.lit(0).cast("long").alias("_n"))
 
 
 def _loaded(spark, sf_dir, mode: str, difference: bool = False) -> Store:
@@ -509,7 +519,7 @@ def _loaded(spark, sf_dir, mode: str, difference: bool = False) -> Store:
 
 
 def _history_rows(store: Store) -> DataFrame:
-    return store.rows("Account").select(F.col("k0").alias("user_id"), "event_type", "value", "f", "t")
+    return store.rows("Account").select(F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "f", "t")
 
 
 _DAYROWS = f"WITH d AS (SELECT user_id, day + 1 AS v, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND day < {_DAYS})"
@@ -534,12 +544,12 @@ def scd2_incremental(spark, sf_dir):
 @query(f"{_FULL}, gaps AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM hist), r AS (SELECT user_id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM gaps) GROUP BY user_id, g) SELECT user_id, f, t FROM r WHERE user_id IN (SELECT user_id FROM r GROUP BY user_id HAVING count(*) > 1)")
 def scd2_revive(spark, sf_dir):
     g = _loaded(spark, sf_dir, "full").read()
-    return _spread(g.nodes["Account"].df.filter(F.size("rs") > 1), F.col("user_id"))
+    return _spread(g.nodes["Account"].df.filter(F.size("rs") > 1), F.col("p_user_id").alias("user_id"))
 
 
 @query(f"{_DAYROWS} SELECT user_id, event_type, value FROM d WHERE v = 4 EXCEPT SELECT user_id, event_type, value FROM d WHERE v = 3")
 def diff_except(spark, sf_dir):
-    days = _days(spark, sf_dir).select(F.col("k0").alias("user_id"), "event_type", "value", "d")
+    days = _days(spark, sf_dir).select(F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "d")
     return days.filter("d = 3").drop("d").subtract(days.filter("d = 2").drop("d"))
 
 

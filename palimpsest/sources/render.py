@@ -106,7 +106,8 @@ def identity(graph: Graph, kind: str, type_name: str, element_id) -> dict:
     columns = [f"k{i}" for i in range(len(graph.schema.key_columns(type_name)))]
     names = [label for label, _ in graph.schema.key_columns(type_name)]
     if not set(columns) <= set(of.df.columns):
-        columns = names = [p for p in of.properties if p in of.constant]
+        names = [p for p in of.properties if p in of.constant]
+        columns = [f"p_{p}" for p in names]
     return {n: _plain(row[0][c]) for n, c in zip(names, columns)}
 
 
@@ -117,7 +118,7 @@ def element_json(graph: Graph, kind: str, type_name: str, element_id) -> str:
     if not rows:
         return json.dumps(None)
     row = rows[0]
-    body = {"kind": kind, "type": type_name, "id": element_id, "versions": _plain(row["_rs"]), "validAtHead": any(r["t"] == HEAD for r in row["_rs"]), "identity": identity(graph, kind, type_name, element_id), "properties": {p: _plain(row[p]) for p in of.properties}}
+    body = {"kind": kind, "type": type_name, "id": element_id, "versions": _plain(row["_rs"]), "validAtHead": any(r["t"] == HEAD for r in row["_rs"]), "identity": identity(graph, kind, type_name, element_id), "properties": {p: _plain(row[f"p_{p}"]) for p in of.properties}}
     return json.dumps(body, ensure_ascii=False, default=str)
 
 

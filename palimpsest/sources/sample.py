@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ranges as R
-from ..plans.graph import Elements, Graph
+from ..plans.graph import Elements, Graph, Lazy
 from ..plans.schema import Edge, Node, Property, Schema
 
 P = Property
@@ -48,42 +50,56 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
     always = [F.lit(0).alias("f"), F.lit(R.HEAD).alias("t")]
 
     def node(df: DataFrame, id_: Column, props: list[str], span=always) -> Elements:
-        return Elements(df.select(id_.alias("id"), *props, *span), True, frozenset(props), tuple(props))
+        return Elements(df.select(id_.alias("id"), *(F.col(p).alias(f"p_{p}") for p in props), *span), True, frozenset(props), tuple(props))
 
     def edge(df: DataFrame, id_: Column, src: Column, dst: Column, span=always, props=()) -> Elements:
-        return Elements(df.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), *props, *span), True, frozenset(props), tuple(props))
-
-    orders = table("orders").withColumn("f", month(F.col("o_orderdate")))
-    orders = orders.withColumn("t", F.when(F.col("o_orderstatus") == "F", F.col("f") + (F.col("o_orderkey") % 12).cast("int")).otherwise(F.lit(R.HEAD)))
-    order = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
-    lines = table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min(F.struct(*order)).alias("x")).select("l_orderkey", "l_partkey", "x.*")
-    lines = lines.withColumn("f", month(F.col("l_shipdate"))).select("l_orderkey", "l_partkey", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), "f", F.when(F.col("l_returnflag") == "R", F.col("f") + 6).otherwise(F.lit(R.HEAD)).alias("t"))
-    rows = user_rows(table("events"))
-    entry = lambda v: R.history(F.collect_list(F.struct("f", "t", F.col(v).alias("v")))).alias(v)
-    users = rows.groupBy("user_id").agg(R.normalize(F.collect_list(F.struct("f", "t"))).alias("rs"), entry("event_type"), entry("value")).select(long("user_id").alias("id"), "user_id", "event_type", "value", "rs")
-    turns = table("conversations").select("conv_id", "turn", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    following = turns.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("id").alias("id2"))
-    steps = turns.join(following, (turns["conv_id"] == following["c2"]) & (turns["turn"] + 1 == following["t2"]))
-    region = table("region")
+        return Elements(df.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), *(F.col(p).alias(f"p_{p}") for p in props), *span), True, frozenset(props), tuple(props))
+
+
+    @cache
+    def orders() -> DataFrame:
+        df = table("orders").withColumn("f", month(F.col("o_orderdate")))
+        return df.withColumn("t", F.when(F.col("o_orderstatus") == "F", F.col("f") + (F.col("o_orderkey") % 12).cast("int")).otherwise(F.lit(R.HEAD)))
+
+    @cache
+    def lines() -> DataFrame:
+        order = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+        df = table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min(F.struct(*order)).alias("x")).select("l_orderkey", "l_partkey", "x.*")
+        return df.withColumn("f", month(F.col("l_shipdate"))).select("l_orderkey", "l_partkey", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), "f", F.when(F.col("l_returnflag") == "R", F.col("f") + 6).otherwise(F.lit(R.HEAD)).alias("t"))
+
+    @cache
+    def users() -> DataFrame:
+        entry = lambda v: R.history(F.collect_list(F.struct("f", "t", F.col(v).alias("v")))).alias(f"p_{v}")
+        return user_rows(table("events")).groupBy("user_id").agg(R.normalize(F.collect_list(F.struct("f", "t"))).alias("rs"), entry("event_type"), entry("value")).select(long("user_id").alias("id"), F.col("user_id").alias("p_user_id"), "p_event_type", "p_value", "rs")
+
+    @cache
+    def turns() -> DataFrame:
+        return table("conversations").select("conv_id", "turn", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+
+    @cache
+    def steps() -> DataFrame:
+        following = turns().select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("id").alias("id2"))
+        return turns().join(following, (turns()["conv_id"] == following["c2"]) & (turns()["turn"] + 1 == following["t2"]))
+
     span = [F.col("f"), F.col("t")]
-    nodes = {
-        "Region": node(region, long("r_regionkey"), ["r_regionkey", "r_name"]),
-        "Nation": node(table("nation"), long("n_nationkey"), ["n_nationkey", "n_name"]),
-        "Customer": node(table("customer"), long("c_custkey"), ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]),
-        "Supplier": node(table("supplier"), long("s_suppkey"), ["s_suppkey", "s_name", "s_acctbal"]),
-        "Part": node(table("part"), long("p_partkey"), ["p_partkey", "p_name", "p_brand", "p_size"]),
-        "Order": node(orders, long("o_orderkey"), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], span),
-        "User": Elements(users, False, frozenset(["user_id"]), ("user_id", "event_type", "value")),
-        "Turn": node(turns, F.col("id"), ["conv_id", "turn", "role"]),
-    }
-    edges = {
-        "placed_by": edge(orders, long("o_orderkey"), long("o_orderkey"), long("o_custkey"), span),
-        "in_nation": edge(table("customer"), long("c_custkey"), long("c_custkey"), long("c_nationkey")),
-        "from_nation": edge(table("supplier"), long("s_suppkey"), long("s_suppkey"), long("s_nationkey")),
-        "in_region": edge(table("nation"), long("n_nationkey"), long("n_nationkey"), long("n_regionkey")),
-        "contains": edge(lines, F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey"), F.col("l_orderkey"), F.col("l_partkey"), span, ("qty", "price")),
-        "is_customer": Elements(users.select("id", F.col("id").alias("src"), F.col("id").alias("dst"), "rs"), False, frozenset(), ()),
-        "next_turn": edge(steps, F.col("id"), F.col("id"), F.col("id2")),
-        "ring": edge(region, long("r_regionkey"), long("r_regionkey"), (F.col("r_regionkey") + 1).cast("long") % 5, [F.col("r_regionkey").cast("int").alias("f"), (90 - F.col("r_regionkey")).cast("int").alias("t")]),
-    }
-    return Graph(SCHEMA, nodes, edges)
+    nodes = Lazy({
+        "Region": lambda: node(table("region"), long("r_regionkey"), ["r_regionkey", "r_name"]),
+        "Nation": lambda: node(table("nation"), long("n_nationkey"), ["n_nationkey", "n_name"]),
+        "Customer": lambda: node(table("customer"), long("c_custkey"), ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]),
+        "Supplier": lambda: node(table("supplier"), long("s_suppkey"), ["s_suppkey", "s_name", "s_acctbal"]),
+        "Part": lambda: node(table("part"), long("p_partkey"), ["p_partkey", "p_name", "p_brand", "p_size"]),
+        "Order": lambda: node(orders(), long("o_orderkey"), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], span),
+        "User": lambda: Elements(users(), False, frozenset(["user_id"]), ("user_id", "event_type", "value")),
+        "Turn": lambda: node(turns(), F.col("id"), ["conv_id", "turn", "role"]),
+    })
+    edges = Lazy({
+        "placed_by": lambda: edge(orders(), long("o_orderkey"), long("o_orderkey"), long("o_custkey"), span),
+        "in_nation": lambda: edge(table("customer"), long("c_custkey"), long("c_custkey"), long("c_nationkey")),
+        "from_nation": lambda: edge(table("supplier"), long("s_suppkey"), long("s_suppkey"), long("s_nationkey")),
+        "in_region": lambda: edge(table("nation"), long("n_nationkey"), long("n_nationkey"), long("n_regionkey")),
+        "contains": lambda: edge(lines(), F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey"), F.col("l_orderkey"), F.col("l_partkey"), span, ("qty", "price")),
+        "is_customer": lambda: Elements(users().select("id", F.col("id").alias("src"), F.col("id").alias("dst"), "rs"), False, frozenset(), ()),
+        "next_turn": lambda: edge(steps(), F.col("id"), F.col("id"), F.col("id2")),
+        "ring": lambda: edge(table("region"), long("r_regionkey"), long("r_regionkey"), (F.col("r_regionkey") + 1).cast("long") % 5, [F.col("r_regionkey").cast("int").alias("f"), (90 - F.col("r_regionkey")).cast("int").alias("t")]),
+    })
+    return Graph(SCHEMA, nodes, edges, spark)

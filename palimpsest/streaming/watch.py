@@ -17,7 +17,7 @@ def watch(store: Store, folder: str, checkpoint: str, interval: str = "10 second
     import.  ``once`` takes what is there and stops.
     """
     folder = folder.rstrip("/")
-    stream = store.spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", max_files).option("latestFirst", "false").load(f"{folder}/incoming")
+    stream = store.spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", max_files).option("latestFirst", "false").schema("path string, modificationTime timestamp, length long, content binary").load(f"{folder}/incoming")
 
     def take(batch: DataFrame, _: int) -> None:
         for row in batch.select("path", "modificationTime").orderBy("modificationTime", "path").collect():
