@@ -111,8 +111,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns; rows that share an id share its copies."""
     found = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n", "_copy")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    joined = rows.join(found, rows["id"].eqNullSafe(found["_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
 
 
 ORACLE_SQL = f"""
