@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 ARRIVAL_ROWS, TARGET_BYTES, ROUNDS, SPAN = 1000, 32 << 20, 4, 4096
 NULL_PARTS = 64
@@ -35,7 +35,8 @@ def compaction_plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, rounds:
     """``shard_id``, ``into`` and the merged ``n_docs``, ``n_bytes`` for shards with these columns.
 
     A round takes the shards under the target, groups them by tier and neighbourhood, and in id order cuts each group
-    where its running size passes a multiple of the target; a part becomes one shard, named by its smallest id.
+    where its running size passes a multiple of the target; a part becomes one shard, named by its smallest id.  Each
+    round is written to the shared folder: a row for each shard, read by the next round and by every use of the plan.
     """
     plan = shards.select("shard_id", "n_docs", "n_bytes", F.col("shard_id").alias("into"))
     for _ in range(rounds):
@@ -46,7 +47,7 @@ def compaction_plan(shards: DataFrame, target_bytes: int = TARGET_BYTES, rounds:
         part = F.when(F.col("t") < 0, F.col("into")).otherwise(F.floor(F.coalesce(F.sum("size").over(run), F.lit(0)) / target_bytes))
         now = now.withColumn("part", part)
         now = now.select("into", F.min("into").over(W.partitionBy("t", "near", "part")).alias("next"))
-        plan = plan.join(now, "into").select("shard_id", "n_docs", "n_bytes", F.col("next").alias("into"))
+        plan = materialize(plan.join(now, "into").select("shard_id", "n_docs", "n_bytes", F.col("next").alias("into")), "compaction")
     whole = W.partitionBy("into")
     return plan.select("shard_id", "into", F.sum("n_docs").over(whole).alias("n_docs"), F.sum("n_bytes").over(whole).alias("n_bytes"))
 
