@@ -105,7 +105,8 @@ class ShardStore:
         # an id that arrived in several versions is one run of them
         plan = compaction_plan(live.groupBy("shard_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes")), target_bytes, rounds)
         parts = live.join(plan.select("shard_id", "into"), "shard_id").withColumn("parts", F.count(F.lit(1)).over(W.partitionBy("into")))
-        moved = parts.filter("parts > 1").select("shard_id", "version", "into")
+        # a table of a row a shard, whose size Spark knows: below its threshold the documents join it where they are read
+        moved = materialize(parts.filter("parts > 1").select("shard_id", "version", "into"), "moved")
         if not moved.limit(1).count():
             return base
         rows = self._data().join(moved, ["shard_id", "version"]).drop("shard_id", "version").withColumnRenamed("into", "shard_id")
