@@ -44,8 +44,8 @@ def canonical_sql(url: str) -> str:
 
 
 def _lower_names(headers: Column) -> Column:
-    """Header names in lower case; of names that become equal the last entry stays."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """Header names in lower case; of spellings that become equal the greatest stays."""
+    entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(F.element_at(F.transform(F.array(entries), last), 1))
 
@@ -66,7 +66,7 @@ def resolve(records: DataFrame) -> DataFrame:
     (of equal times the greatest ``record_id``): ``resolved`` if it names at least one validator (ETag, compared
     weakly, or Last-Modified) and each that both name is equal, with at least one in common; ``mismatch`` otherwise,
     with the source named but no body.  ``unmatched``: no earlier response, or a null URL or time.  Header names
-    compare in lower case; a header given twice keeps its last value.  Repeated records are resolved each.  Other kinds
+    compare in lower case; of a header in several spellings the greatest by code point counts.  Repeated records are resolved each.  Other kinds
     and null kinds are dropped.
     """
     empty = F.create_map().cast("map<string,string>")
@@ -90,7 +90,10 @@ def resolve(records: DataFrame) -> DataFrame:
     found = found.join(carried, ["url_key", "block"], "left")
     links = found.select("record_id", "url_key", "ts", F.coalesce(F.col("here")["record_id"], F.col("before")["record_id"]).alias("source_id")).distinct()
 
-    full = rows.filter("full").select(F.col("record_id").alias("s_id"), F.col("headers").alias("s_headers"), F.col("body").alias("s_body")).dropDuplicates(["s_id"])
+    full = rows.filter("full").select(F.col("record_id").alias("s_id"), F.col("headers").alias("s_headers"), F.col("body").alias("s_body"))
+    # many revisits may share one response: with both sides straight from an exchange their partition can be split
+    if thin.filter("full").groupBy("record_id").count().filter("count > 1").limit(1).count():
+        full = full.dropDuplicates(["s_id"])
     revisits = rows.filter("kind = 'revisit'").select("record_id", "url_key", "ts", "kind", "headers")
     named = links.select(F.col("record_id").alias("l_id"), F.col("url_key").alias("l_key"), F.col("ts").alias("l_ts"), "source_id")
     same = revisits["record_id"].eqNullSafe(named["l_id"]) & (revisits["url_key"] == named["l_key"]) & (revisits["ts"] == named["l_ts"])
