@@ -509,10 +509,18 @@ def _days(spark, sf_dir):
     return last.select(F.col("user_id").alias("k0"), "d", F.col("e.event_type").alias("p_event_type"), F.col("e.value").alias("p_value"), F.lit(0).cast("long").alias("_n"))
 
 
-def _loaded(spark, sf_dir, mode: str, difference: bool = False) -> Store:
+def _loaded(spark, sf_dir, mode: str, difference: bool = False, n_days: int | None = _DAYS) -> Store:
+    """Event days as snapshots, day ``d`` as version ``d + 1``: the first ``n_days``, or all up to the last in the table."""
     store = Store(spark, f"{shared_dir(spark)}/accounts-{uuid.uuid4().hex}", _USERS)
     days = _days(spark, sf_dir)
-    for d in range(_DAYS):
+    if n_days is None:
+        # written once, a folder for each day, so the events are not read again for every import
+        schema, path = days.schema, f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+        days.repartition("d").write.partitionBy("d").parquet(path)
+        days = spark.read.schema(schema).parquet(path)
+        last = days.agg(F.max("d").alias("d")).first()["d"]
+        n_days = 0 if last is None else last + 1
+    for d in range(n_days):
         one = days.filter(F.col("d") == d).drop("d")
         store.load({"Account": Load(one, mode, days.filter(F.col("d") == d - 1).drop("d") if difference and d else None)})
     return store
@@ -543,8 +551,23 @@ def scd2_incremental(spark, sf_dir):
 
 @query(f"{_FULL}, gaps AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM hist), r AS (SELECT user_id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM gaps) GROUP BY user_id, g) SELECT user_id, f, t FROM r WHERE user_id IN (SELECT user_id FROM r GROUP BY user_id HAVING count(*) > 1)")
 def scd2_revive(spark, sf_dir):
-    g = _loaded(spark, sf_dir, "full").read()
-    return _spread(g.nodes["Account"].df.filter(F.size("rs") > 1), F.col("p_user_id").alias("user_id"))
+    return _revived(_loaded(spark, sf_dir, "full"))
+
+
+def _all_days(name: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    """The query ``name`` over every event day: its SQL without the bound, open ranges end at the last version."""
+    text = ORACLES[name].replace(f" AND day < {_DAYS}", "").replace(f"max(v) = {_DAYS} ", "max(v) = (SELECT max(v) FROM d) ")
+    QUERIES[f"{name}_all_days"], ORACLES[f"{name}_all_days"] = run, text
+
+
+def _revived(store: Store) -> DataFrame:
+    return _spread(store.read().nodes["Account"].df.filter(F.size("rs") > 1), F.col("p_user_id").alias("user_id"))
+
+
+_all_days("scd2_full", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "full", n_days=None)))
+_all_days("scd2_differential", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "full", True, n_days=None)))
+_all_days("scd2_incremental", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "incremental", n_days=None)))
+_all_days("scd2_revive", lambda spark, sf_dir: _revived(_loaded(spark, sf_dir, "full", n_days=None)))
 
 
 @query(f"{_DAYROWS} SELECT user_id, event_type, value FROM d WHERE v = 4 EXCEPT SELECT user_id, event_type, value FROM d WHERE v = 3")

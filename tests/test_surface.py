@@ -28,6 +28,18 @@ def test_query_against_sql(spark, sf_dir, name):
     assert_same(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", ["scd2_full", "scd2_differential", "scd2_incremental", "scd2_revive"])
+def test_histories_of_every_event_day(spark, sf_dir, tmp_path, name):
+    for p in Path(sf_dir).iterdir():
+        (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "events.parquet").unlink()
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").filter((day < 8) & (day != 6)).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")  # day 6 is a snapshot of nothing
+    df = queries.QUERIES[f"{name}_all_days"](spark, f"file://{tmp_path}")
+    assert df.agg(F.max("f")).first()[0] == 8  # a row that opens after the first five days
+    assert_same(df, queries.ORACLES[f"{name}_all_days"], tmp_path)
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLES)
 
