@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest id, of each group of near copies: fingerprints within two bits, or five-word shingles with a similarity of 0.8 or more."""
+    return simhash.keep_one(docs, similar=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard
 from .common import materialize
 from .graphs import connected_components
 
@@ -141,8 +142,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, fps["fp"] == named["class_fp"], "left").select("doc_id", "fp", "class_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, similar: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; null ids stay.
+
+    Rows are told apart by id and text.  With ``similar``, texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more link as well.
+    """
+    if not 0 <= max_bits <= 2:
+        raise ValueError("the segment pairs cover at most two differing bits")
+    th = F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), F.col(text_col).cast("string").alias("text"))
+    # a fingerprint belongs to a text, so the text's hash goes in the place of the id
+    fps = materialize(fingerprints(texts, "th", "text", shingle).select(F.col("doc_id").alias("th"), "fp").distinct(), "fingerprints")
+    classes = fps.select("fp", F.col("fp").alias("rep")).distinct()
+    links, found = link_pairs(classes, max_bits), None
+    if similar:
+        found = materialize(jaccard.prefixes(texts), "prefixes")
+        own = fps.join(found.filter("n > 0").select("th", "sid").distinct(), "th").select("fp", "sid").distinct()
+        named = materialize(own.groupBy("sid").agg(F.min("fp").alias("name")), "named")
+        same = own.join(named, "sid").filter("fp != name").select(F.col("fp").alias("src"), F.col("name").alias("dst"))
+        near = jaccard.similar_links(found, texts)
+        near = near.join(named.select(F.col("sid").alias("src"), F.col("name").alias("s")), "src").join(named.select(F.col("sid").alias("dst"), F.col("name").alias("d")), "dst")
+        links = links.unionByName(same).unionByName(near.filter("s != d").select(F.col("s").alias("src"), F.col("d").alias("dst")))
+    labels = connected_components(links)
+    parts = fps.join(labels, fps["fp"] == labels["node"], "left").select("th", F.coalesce("label", "fp").alias("part"))
+    rows = materialize(texts.select("id", "th").distinct().join(parts, "th"), "rows")
+    least = rows.groupBy("part").agg(F.min("id").alias("least"))
+    gone = rows.join(least, "part").filter(F.col("id") > F.col("least")).select(F.col("id").alias("_gone"), F.col("th").alias("_gone_text"))
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_gone_text"]), "left_anti")

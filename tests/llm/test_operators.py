@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import common, decontamination, graphs, mixing, quality_classifier, quality_rules, registry, revisit, sharding, simhash, substring_dedup, token_counts, toxicity
+from palimpsest.llm import common, decontamination, graphs, jaccard, mixing, quality_classifier, quality_rules, registry, revisit, sharding, simhash, substring_dedup, token_counts, toxicity
 from tests.helpers import assert_same, canonical
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -406,6 +406,43 @@ def test_links_against_all_pairs(spark, bits):
     assert got == {(i, j) for i, x in rows for j, y in rows if i < j and (x ^ y).bit_count() <= bits}
 
 
+def test_similar_texts_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    r = random.Random(8)
+    texts = [None, "", "one two three"]
+    for size in (7, 12, 40, 90, 150):
+        for _ in range(4):
+            base = [f"v{r.randrange(3000)}" for _ in range(size)]
+            for _ in range(9):
+                w = list(base)
+                for _ in range(r.randrange(0, 1 + size // 25)):
+                    at = r.randrange(size - 1)
+                    w[at : at + r.randrange(2)] = [f"v{r.randrange(3000)}"]
+                texts.append(" ".join(w))
+    line = " ".join(f"c{i}" for i in range(12))  # a common line makes large buckets of different texts
+    texts += [f"{line} {t}" for t in _vocabulary_texts(5, 30, 40, 12)]
+    texts = [(1000 - i, t.upper() if t and i % 3 == 0 else t) for i, t in enumerate(texts)]
+    got = {x["doc_id"] for x in simhash.keep_one(docs(spark, texts), similar=True).select("doc_id").collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts}
+    fps, part = {i: _fingerprint(t) for i, t in texts}, {i: i for i, _ in texts}
+    far = 0
+    for i, j in ((i, j) for i in sets for j in sets if i < j):
+        near = sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+        far += bool(near and (fps[i] ^ fps[j]).bit_count() > 2)
+        if (near or (fps[i] ^ fps[j]).bit_count() <= 2) and part[i] != part[j]:
+            a, b = sorted((part[i], part[j]))
+            part = {k: a if v == b else v for k, v in part.items()}
+    assert far >= 10 and got == set(part.values())
+
+
+def test_one_id_on_different_texts(spark):
+    x, y = _vocabulary_texts(3, 2)
+    rows = docs(spark, [(5, x), (5, y), (3, y)])
+    for similar in (False, True):
+        assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows, similar=similar).collect()) == sorted([(5, x), (3, y)])
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(5, 5), (7, None)]
