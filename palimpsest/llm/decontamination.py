@@ -73,7 +73,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         self.items, found = [], {}
         for item_id, text in items:
-            number, k = len(self.items), budget(len(text), error_rate)
+            number, k = len(self.items), budget(len(text), error_rate) if len(text) >= MIN_CHARS else 0
             self.items.append((item_id, len(text), k, item_masks(text)))
             for offset, piece in cut(text, k + 1):
                 found.setdefault(piece, []).append((number, offset))
@@ -93,6 +93,8 @@ class Matcher:
         out = []
         for number, at in starts.items():
             item_id, length, k, masks = self.items[number]
+            if length < MIN_CHARS:
+                at = [s for s in at if not (text[s - 1 : s].isalnum() or text[s + length : s + length + 1].isalnum())]
             best, where, windows = k + 1, 0, []
             for s in sorted(set(at)):  # where the item would begin; windows that touch are searched as one
                 low, high = max(0, s - k), min(len(text), s + length + k)
@@ -116,7 +118,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> l
     n = -(-total // block_chars)
     for b in range(n):
         rows = own.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect() if n > 1 else own.collect()
-        block = [(r["i"], t) for r in rows if len(t := normalize(r["t"])) >= MIN_CHARS]
+        block = [(r["i"], t) for r in rows if (t := normalize(r["t"]))]
         yield sorted(set(block))
 
 
@@ -133,8 +135,8 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
     Both texts are compared in lower case with single blanks.  The budget is ``error_rate`` times the item's characters,
     rounded down.  Returns ``doc_id``, ``item_id``, ``distance`` (the least), ``item_chars`` and ``passage`` (the part
-    of the normalised text that ends where the least distance is first reached, as long as the item).  Items that are
-    null or shorter than 20 characters are left out; an item that is repeated with one id counts once.  Null or empty
+    of the normalised text that ends where the least distance is first reached, as long as the item).  Items
+    shorter than 20 characters are found where they stand unchanged between word borders; null and blank ones are left out; an item that is repeated with one id counts once.  Null or empty
     texts hold nothing.  Repeated rows are reported each, a null ``doc_id`` as null; other columns are not read.  Items
     beyond ``block_chars`` are searched in further passes over the documents.
     """

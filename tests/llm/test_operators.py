@@ -303,6 +303,14 @@ def test_edit_matching_against_dynamic_programming(spark):
     assert decontamination.best_match(3, decontamination.item_masks("abc"), "xxabcxabc") == (0, 5)
 
 
+def test_short_items_stand_between_word_borders(spark):
+    texts = ["ox cart", "an OX  cart!", "ox carts and box cart", "box cart ox cart", "ox cort", "ox", ""]
+    items = spark.createDataFrame([(1, "Ox cart"), (2, "  ")], "item_id long, text string")
+    found = decontamination.contaminations(docs(spark, texts), items)
+    assert sorted(tuple(x) for x in found.collect()) == [(0, 1, 0, 7, "ox cart"), (1, 1, 0, 7, "ox cart"), (3, 1, 0, 7, "ox cart")]
+    assert {x["doc_id"] for x in decontamination.drop_contaminated(docs(spark, texts), items).collect()} == {2, 4, 5, 6}
+
+
 # -- 5 and 9
 
 
