@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of anything but blank and the ASCII controls HT..CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, or in local mode a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -58,6 +60,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def longs(values: list[int]) -> Column:
+    """A constant array as one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def last_at_most(edges: list[int], value: Column) -> Column:
+    """Place of the last of the rising ``edges`` at or below ``value`` (0 if there is none), by bisection."""
+    steps, array = F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length())))), longs(edges)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step) <= value, at + step).otherwise(at))
+
+
 def is_held_out(doc_id):
     """Column: the row's label is never learned from (crc32 of the id as text, modulo 4, is 2)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -183,9 +196,10 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col
     """``text`` and ``y`` of at most ``rows`` labelled documents outside the held-out part, the same at every run.
 
     The ids are chosen by a hash, so the choice does not follow the order of the table; their number is the bound that
-    makes the join a broadcast.
+    makes the join a broadcast.  An id that is repeated brings one text (the least by hash) and one label (the greatest).
     """
-    own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).dropna()
-    chosen = own.filter(~is_held_out(F.col("_id"))).orderBy(F.xxhash64("_id", F.lit(7)), "_id", "y").limit(rows)
+    own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("_id").agg(F.max("y").alias("y"))
+    chosen = own.filter(~is_held_out(F.col("_id"))).orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), texts["_own"] == chosen["_id"]).select("text", "y")
+    found = texts.join(F.broadcast(chosen), texts["_own"] == chosen["_id"])
+    return found.groupBy("_own").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("y").alias("y")).select("t.text", "y")
