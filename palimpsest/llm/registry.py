@@ -27,7 +27,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "removed", "repeats")
 
 
 @query
