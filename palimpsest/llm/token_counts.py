@@ -2,13 +2,15 @@
 
 Pre-tokens of many texts lie end to end in one array of symbols.  In each step every sequence applies the pair of
 lowest rank that it holds, at all its places at once; sequences without a pair leave.  What is left of each is its
-number of tokens, which is remembered for the next batch.
+number of tokens, which is remembered for the next batch.  A sequence that is long (text without blanks, encoded bytes)
+keeps its places in lists by rank instead, and after a step only the places beside a merge are ranked anew.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from heapq import heapify, heappop, heappush
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import per_worker, pieces
 
+LONG = 256  # bytes of a pre-token from which its places are kept by rank; it is not remembered
+NEVER = np.int64(1) << 40
 KNOWN_LIMIT = 400_000  # remembered pre-tokens of a worker; more are forgotten together and counted anew
 
 
@@ -59,8 +63,71 @@ class Vocabulary:
         return Vocabulary(np.array([ids[s] for s in signs], np.int64), np.array([ids[s + suffix] for s in signs], np.int64), len(ids), keys[order], order.astype(np.int64), pairs[order, 2], split["pattern"]["Regex"], specials)
 
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (``NEVER`` for those that do not merge), and its place in the table."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER), at
+
+
+def merged_length(word: bytes, v: Vocabulary) -> int:
+    """Symbols of one long word that survive all merges; the time is near to linear in its bytes."""
+    raw = np.frombuffer(word, np.uint8)
+    symbols = v.inner[raw]
+    symbols[-1] = v.final[raw[-1]]
+    n = left = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank = np.full(n, NEVER)
+    rank[:-1], _ = v.rank(symbols[:-1], symbols[1:])
+    waiting: dict[int, list[int]] = {}
+    for place in np.flatnonzero(rank < NEVER).tolist():
+        waiting.setdefault(int(rank[place]), []).append(place)
+    ranks = list(waiting)
+    heapify(ranks)
+    while ranks:
+        lowest = heappop(ranks)
+        at = np.unique(np.array(waiting.pop(lowest), np.int64))
+        at = at[rank[at] == lowest]
+        if not len(at):
+            continue
+        # of overlapping places (one symbol repeated) every other one counts, from the left
+        turn = np.arange(len(at))
+        chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        at = at[(turn - np.maximum.accumulate(np.where(chained, 0, turn))) % 2 == 0]
+        _, row = v.rank(symbols[at[:1]], symbols[after[at[:1]]])
+        gone = after[at]
+        symbols[at] = v.products[row[0]]
+        far = after[gone]
+        after[at] = far
+        inside = far < n
+        before[far[inside]] = at[inside]
+        rank[gone] = NEVER
+        left -= len(at)
+        beside = before[at]
+        touched = np.concatenate([at, beside[beside >= 0]])
+        right = after[touched]
+        rank[touched] = NEVER
+        touched, right = touched[right < n], right[right < n]
+        rank[touched], _ = v.rank(symbols[touched], symbols[right])
+        for place, r in zip(touched.tolist(), rank[touched].tolist()):
+            if r < NEVER:
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(place)
+    return left
+
+
 def merged_lengths(words: list[bytes], v: Vocabulary) -> np.ndarray:
     """Symbols that survive all merges, for each non-empty word."""
+    if any(len(w) > LONG for w in words):
+        out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        out[short] = merged_lengths([words[i] for i in short], v) if short else 0
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = merged_length(w, v)
+        return out
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     raw = np.frombuffer(b"".join(words), np.uint8)
     symbols = v.inner[raw]
@@ -68,23 +135,20 @@ def merged_lengths(words: list[bytes], v: Vocabulary) -> np.ndarray:
     symbols[ends - 1] = v.final[raw[ends - 1]]
     row = np.repeat(np.arange(len(words)), lengths)
     out = lengths.copy()
-    never = np.int64(1) << 40
     while len(symbols) > 1:
-        key = symbols[:-1] * v.size + symbols[1:]
-        at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        rank = np.where((v.keys[at] == key) & (row[:-1] == row[1:]), v.ranks[at], never)
-        rank = np.append(rank, never)
+        rank, at = v.rank(symbols[:-1], symbols[1:])
+        rank = np.append(np.where(row[:-1] == row[1:], rank, NEVER), NEVER)
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         size = np.diff(np.append(first, len(row)))
         lowest = np.repeat(np.minimum.reduceat(rank, first), size)
-        hit = (rank == lowest) & (lowest < never)
+        hit = (rank == lowest) & (lowest < NEVER)
         # of overlapping places (one symbol repeated) every other one counts, from the left
         place = np.arange(len(hit))
         begin = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, 0))
         hit &= (place - begin) % 2 == 0
         where = np.flatnonzero(hit)
         symbols[where] = v.products[at[where]]
-        alive = lowest < never
+        alive = lowest < NEVER
         alive[where + 1] = False
         out -= np.bincount(row[where], minlength=len(out))
         symbols, row = symbols[alive], row[alive]
@@ -120,10 +184,13 @@ class Counter:
         if len(self.known) + len(new) > KNOWN_LIMIT:
             self.known.clear()
             new = set().union(*(w for w, _ in split))
+        long: dict[str, int] = {}
         if new:
             fresh = list(new)
-            self.known.update(zip(fresh, merged_lengths([w.encode("utf-8") for w in fresh], self.v).tolist()))
-        get = self.known.__getitem__
+            for w, n in zip(fresh, merged_lengths([w.encode("utf-8") for w in fresh], self.v).tolist()):
+                (self.known if len(w) <= LONG else long)[w] = n
+        known = self.known
+        get = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
         return [sum(map(get, w)) + n for w, n in split]
 
 
