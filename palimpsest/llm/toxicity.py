@@ -13,12 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_parts, is_held_out, materialize, mix64, pieces, train_rows, word_hashes, word_spans
+from .common import binary_parts, is_held_out, materialize, mix64, pieces, release, train_rows, word_hashes, word_spans
 
 TRAIN_ROWS = 20_000
-HASH_BITS, WORDS, MIN_DOCS = 20, 4096, 4
-PREFIXES = (6, 7, 8)  # bytes of a word's beginning, for languages that compound
-SCREEN = 12.0  # least chi-square of a feature's documents against the share of the label
+PREFIXES = (6, 7, 8)  # characters of a word's beginning, for languages that compound
+SCREEN = 12.0  # least likelihood-ratio statistic of a feature's documents against the share of the label (p about 0.0005)
 STEPS, RATE, L2 = 200, 0.1, 1e-5
 OFFENDING = 0.5
 
@@ -40,14 +39,19 @@ class _Bags:
         starts, ends, first = word_spans(raw, self.offsets, _PARTS)
         self.starts, self.ends = starts, ends
         low = _LOWER[raw]
-        shapes = [word_hashes(low, starts, ends), *(np.where(ends - starts > k, word_hashes(low, starts, np.minimum(ends, starts + k)), np.uint64(0)) for k in PREFIXES)]
+        begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), np.full(max(PREFIXES), len(raw)))  # of the characters
+        lead = np.searchsorted(begins, starts)
+        shapes = [word_hashes(low, starts, ends)]
+        for k in PREFIXES:
+            cut = begins[lead + k]
+            shapes.append(np.where(cut < ends, word_hashes(low, starts, np.minimum(ends, cut)), np.uint64(0)))
         doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(first))
         stop = np.concatenate([[0], np.cumsum(_ENDS[raw])])[starts] if len(starts) else np.zeros(0, np.int64)
         new = np.concatenate([[True], (stop[1:] != stop[:-1]) | (doc[1:] != doc[:-1])]) if len(starts) else np.zeros(0, bool)
         own = np.cumsum(new) - 1
         mixed = np.concatenate([mix64(h + np.uint64(k)) for k, h in enumerate(shapes)])
         real = np.concatenate([h != 0 for h in shapes])
-        self.word = (mixed[real] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        self.word = mixed[real].view(np.int64)
         self.sentence = np.tile(own, len(shapes))[real]
         self.first = np.flatnonzero(new)
         self.doc = doc[self.first]  # of each sentence
@@ -71,6 +75,17 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
+def loss(theta: np.ndarray, column: np.ndarray, row: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean noisy-or loss of the weights and bias ``theta``, and its gradient."""
+    n, n_s = len(y), len(doc)
+    z = theta[-1] + np.bincount(row, weights=theta[column], minlength=n_s)
+    total = np.bincount(doc, weights=_softplus(z), minlength=n) + 1e-9  # minus log of "no sentence is toxic"
+    value = np.where(y > 0, -np.log(-np.expm1(-total)), total).mean()
+    outer = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n
+    inner = outer[doc] / (1 + np.exp(-z))
+    return float(value), np.append(np.bincount(column, weights=inner[row], minlength=len(theta) - 1), inner.sum())
+
+
 def fit(words: np.ndarray, column: np.ndarray, row: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Model:
     """Minimise the noisy-or loss by Adam.
 
@@ -78,18 +93,13 @@ def fit(words: np.ndarray, column: np.ndarray, row: np.ndarray, doc: np.ndarray,
     the document of each sentence and ``y`` the label of each document.  With no documents or one class only, no
     feature has a weight and every sentence gets the same extreme score.
     """
-    n, n_s = len(y), len(doc)
     if len(np.unique(y)) < 2:
         return Model(8.0 if y.any() else -8.0, np.zeros(0, np.int64), np.zeros(0))
     theta = np.zeros(len(words) + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(row, weights=theta[column], minlength=n_s)
-        total = np.bincount(doc, weights=_softplus(z), minlength=n) + 1e-9  # minus log of "no sentence is toxic"
-        outer = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n
-        inner = outer[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, weights=inner[row], minlength=len(words)), inner.sum())
+        _, grad = loss(theta, column, row, doc, y)
         grad[:-1] += L2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -97,28 +107,31 @@ def fit(words: np.ndarray, column: np.ndarray, row: np.ndarray, doc: np.ndarray,
 
 
 def _telling(rows: DataFrame) -> np.ndarray:
-    """The features whose documents are labelled unlike the rest, at most ``WORDS``, by a distributed count."""
+    """All features whose documents are labelled unlike the rest by more than chance, by a distributed count."""
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 0):
                 bags = _Bags(batch.column(0))
-                seen = np.unique(bags.doc[bags.sentence] << HASH_BITS | bags.word) if len(bags.word) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((seen & ((1 << HASH_BITS) - 1)).astype(np.int32)), batch.column(1).take(pa.array(seen >> HASH_BITS))], ["word", "y"])
+                doc = bags.doc[bags.sentence] if len(bags.word) else np.zeros(0, np.int64)
+                order = np.lexsort((bags.word, doc))
+                doc, word = doc[order], bags.word[order]
+                new = np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(word[new]), batch.column(1).take(pa.array(doc[new]))], ["word", "y"])
 
     n, rate = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("y"), F.lit(0.0))).first()
     if not n or rate in (0.0, 1.0):
         return np.zeros(0, np.int64)
-    counts = rows.mapInArrow(run, "word int, y int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).filter(F.col("n") >= MIN_DOCS)
-    off = F.col("pos") - F.col("n") * rate
-    ranked = counts.withColumn("s", off * off / (F.col("n") * rate * (1 - rate))).filter(F.col("s") > SCREEN).orderBy(F.desc("s"), "word").limit(WORDS)
-    return np.sort(np.array([r["word"] for r in ranked.select("word").collect()], np.int64))
+    counts = rows.mapInArrow(run, "word long, y int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    part = lambda count, share: F.when(count > 0, count * F.log(count / (F.col("n") * share))).otherwise(0.0)
+    told = counts.filter(2 * (part(F.col("pos"), rate) + part(F.col("n") - F.col("pos"), 1 - rate)) > SCREEN)
+    return np.sort(told.select("word").toArrow().column("word").to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out part.
+    """Fit on at most ``rows`` labelled documents outside the held-out part; all their telling features count.
 
-    The driver sees the telling features (at most ``WORDS``) and where they stand in those documents, not the texts.
+    The driver sees these features and where they stand in those documents, not the texts.
     """
     sample = materialize(train_rows(docs, labels, label, rows, id_col, text_col), "labelled")
     words = _telling(sample)
@@ -128,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             for batch in pieces(whole, 0):
                 bags = _Bags(batch.column(0))
                 at = np.searchsorted(words, bags.word)
-                hit = np.flatnonzero(np.append(words, -1)[at] == bags.word)
+                hit = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == bags.word) if len(words) else np.zeros(0, np.int64)
                 hit = hit[np.argsort(bags.sentence[hit], kind="stable")]
                 n = np.bincount(bags.doc[bags.sentence[hit]], minlength=batch.num_rows) if len(hit) else np.zeros(batch.num_rows, np.int64)
                 edges = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
@@ -136,15 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 first = np.cumsum(n_sentences) - n_sentences
                 place = bags.sentence[hit] - first[bags.doc[bags.sentence[hit]]] if len(hit) else np.zeros(0, np.int64)
                 lists = [pa.ListArray.from_arrays(edges, pa.array(a.astype(np.int32))) for a in (at[hit], place)]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array(n_sentences.astype(np.int32)), batch.column(1)], ["columns", "places", "n", "y"])
-
-    got = sample.mapInArrow(run, "columns array<int>, places array<int>, n int, y int").toArrow().to_pydict()
-    found = sorted(zip(got["y"], got["n"], got["columns"], got["places"]))  # the model must not depend on the order of rows
-    n = np.array([f[1] for f in found], np.int64)
-    first = np.cumsum(n) - n
-    flat = lambda parts: np.concatenate([np.array(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
-    column, row = flat([f[2] for f in found]), flat([np.array(f[3], np.int64) + a for f, a in zip(found, first)])
-    return fit(words, column, row, np.repeat(np.arange(len(n)), n), np.array([float(f[0]) for f in found]), steps)
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(n_sentences.astype(np.int32)), batch.column(1), batch.column(2)], ["columns", "places", "n", "y", "h"])
+
+    got = sample.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(run, "columns array<int>, places array<int>, n int, y int, h long").toArrow()
+    got = got.sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()  # the model must not depend on the order of rows
+    n = got.column("n").to_numpy().astype(np.int64)
+    flat = lambda name: np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in got.column(name).chunks)]).astype(np.int64)
+    held = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in got.column("columns").chunks)]).astype(np.int64)
+    row = flat("places") + np.repeat(np.cumsum(n) - n, held)
+    sample_model = fit(words, flat("columns"), row, np.repeat(np.arange(len(n)), n), got.column("y").to_numpy().astype(float), steps)
+    release(sample)
+    return sample_model
 
 
 SCORES = "doc_id long, score double, predicted int, offending array<struct<start:int,stop:int,score:double>>"
