@@ -112,7 +112,7 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[int, str]]]:
-    """Usable items in blocks of a bounded number of characters; one block is on the driver at a time while it is read."""
+    """Usable items in blocks of a bounded number of characters; each block travels with the function that searches it."""
     own = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).dropna()
     total = own.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
     n = -(-total // block_chars)

@@ -136,11 +136,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns only; no shuffle and no join, so ids need not be unique."""
+    """The rows of ``docs`` that are kept, with their columns only; no shuffle and no join, so ids need not be unique.
+
+    Rows that pass the base rules are written once beside their votes, so no text is judged twice.
+    """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    judged = _judged(rows, "_text", "_row")
-    posterior = _fit(judged.select("pattern"))
-    kept = judged.filter(~F.col("base_failed") & (posterior >= keep_at))
+    passed = F.when(~F.col("base_failed"), F.col("_row")).alias("_row")
+    judged = materialize(_judged(rows, "_text", "_row").select("pattern", passed), "judged")
+    kept = judged.filter(F.col("_row").isNotNull() & (_fit(judged.select("pattern")) >= keep_at))
     return kept.select("_row.*")
 
 

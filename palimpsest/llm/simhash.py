@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, similar: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all their columns; null ids stay.
 
-    Rows are told apart by id and text.  With ``similar``, texts whose sets of five-word shingles have a Jaccard
+    Rows are told apart by id and text.  So rows that share the smallest id stay together, copies of one another or
+    not, and a row without an id stays beside its copies: without an id there is no saying which is the first.  With ``similar``, texts whose sets of five-word shingles have a Jaccard
     similarity of 0.8 or more link as well.
     """
     if not 0 <= max_bits <= 2:
