@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ranges as R
 from ..plans.schema import Node, Property, Schema
@@ -61,18 +61,20 @@ def difference(old: Schema, new: Schema) -> Difference:
 
 
 def migrate(store: Store, new: Schema, defaults: dict[tuple[str, str], object] | None = None, hook: Callable[[Store], None] | None = None) -> Store:
-    """Rewrite the store under ``new``: added properties hold their default (or null) over all history.
+    """The store under ``new``: added properties hold their default (or null) over all history.
 
-    A hook runs first with the store as it was.  The history of each touched element is written as one more version.
+    A hook runs first with the store as it was.  The history of each touched element is written to new folders and
+    published as one more version; older versions keep their rows, and readers that hold one go on reading it under the
+    old schema.  Keys are stored by name, so another order of key properties is no change of the rows.
     """
     change = difference(store.schema, new)
     if hook:
         hook(store)
     after = Store(store.spark, store.root, new)
-    touched = {e for e, _ in change.added_properties} | {e for e, _ in change.removed_properties}
-    if not touched:
-        return after
     base, defaults = store.version(), defaults or {}
+    there = store.manifest(base)["elements"]
+    touched = {e for e, _ in (*change.added_properties, *change.removed_properties) if e in there}
+    whole = {}
     for name in sorted(touched):
         rows = store.rows(name, base)
         for element, p in change.removed_properties:
@@ -81,39 +83,49 @@ def migrate(store: Store, new: Schema, defaults: dict[tuple[str, str], object] |
         for element, p in change.added_properties:
             if element == name:
                 rows = rows.withColumn(f"p_{p.name}", F.lit(defaults.get((name, p.name))).cast(p.spark))
-        replace_rows(after, name, rows, base + 1)
-    after._publish(base + 1, sorted(touched))
+        # keys in the order of the new schema
+        old = dict(zip(store.schema.key_names(name), store._columns(name)[0]))
+        keys = [F.col(old[n]).alias(k) for n, k in zip(new.key_names(name), after._columns(name)[0])]
+        whole[name] = _parted(rows.select(*keys, *after._columns(name)[1], "f", "t"))
+    if whole:
+        after.replace(whole, base)
     return after
 
 
-def replace_rows(store: Store, element: str, rows, version: int) -> None:
-    """Write a whole history as ``version``; older versions of the element stay readable under the old schema only."""
-    keys, data, _ = store._columns(element)
-    fs, base = store._fs, f"data/{element}"
-    staged = f"{store.root}/{base}/draft-{version}"
-    rows.select(*keys, *data, "f", "t").write.parquet(staged)
-    whole = store.spark.read.parquet(staged)
-    fs.delete(store._path(f"{base}/closed"), True)
-    whole.filter(F.col("t") != R.HEAD).write.parquet(f"{store.root}/{base}/closed/v={version}")
-    whole.filter(F.col("t") == R.HEAD).drop("t").write.parquet(f"{store.root}/{base}/open/v={version}")
-    fs.delete(store._path(f"{base}/draft-{version}"), True)
-
-
-def add_rows(store: Store, element: str, rows) -> int:
-    """Backdated writes: rows with explicit ranges join the history in a new version."""
-    at = store.version() + 1
+def _parted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.when(F.col("t") == R.HEAD, "open").otherwise("closed"))
+
+
+def add_rows(store: Store, element: str, rows: DataFrame) -> int:
+    """Backdated writes: rows with explicit ranges join the history in a new version.
+
+    A range that is empty, or that meets another row of the same key, old or new, refuses them all.
+    """
+    base = store.version()
     keys, data, _ = store._columns(element)
-    replace_rows(store, element, store.rows(element).select(*keys, *data, "f", "t").unionByName(rows.select(*keys, *data, "f", "t")), at)
-    store._publish(at, [element])
-    return at
+    every = store.rows(element, base).select(*keys, *data, "f", "t").unionByName(rows.select(*keys, *data, F.col("f").cast("int"), F.col("t").cast("int")))
+    earlier = F.max("t").over(Window.partitionBy(*keys).orderBy("f", "t").rowsBetween(Window.unboundedPreceding, -1))
+    if not every.withColumn("_t", earlier).filter("f > t OR _t >= f").isEmpty():
+        raise MigrationError(f"rows of {element} would hold at the same version")
+    return store.replace({element: _parted(every)}, base)
 
 
-def remove_element(store: Store, name: str) -> None:
-    """Destroy an element type's rows."""
-    store._fs.delete(store._path(f"data/{name}"), True)
+def remove_element(store: Store, name: str) -> int:
+    """A version without an element type's rows; older versions keep them."""
+    return _republish(store, {name: None})
 
 
-def rename_element(store: Store, old: str, new: str) -> None:
-    """Give an element type another name; its properties go with it."""
-    if not store._fs.rename(store._path(f"data/{old}"), store._path(f"data/{new}")):
+def rename_element(store: Store, old: str, new: str) -> int:
+    """A version in which an element type has another name; its rows stay where they are."""
+    if old not in store.manifest()["elements"]:
         raise MigrationError(f"{old} could not be renamed")
+    return _republish(store, {old: new})
+
+
+def _republish(store: Store, names: dict[str, str | None]) -> int:
+    base = store.version()
+    before = store.manifest(base)
+    elements = {names.get(e, e): entry for e, entry in before["elements"].items()}
+    elements.pop(None, None)
+    store._publish(base + 1, elements, before["sources"])
+    return base + 1

@@ -25,6 +25,7 @@ class Elements:
     single: bool
     constant: frozenset[str]
     properties: tuple[str, ...]
+    cut: Callable[[list[tuple[int, int]]], DataFrame] | None = None  # the rows of a slice, where they need not be grouped first
 
     def rs(self) -> Column:
         return F.array(R.span(F.col("f"), F.col("t"))) if self.single else F.col("rs")
@@ -62,6 +63,8 @@ class Graph:
 
     def _slice(self, of: Elements, versions) -> DataFrame:
         """Rows valid in any of ``versions`` (range pairs) with ``rs`` cut to them; one range stays a pushed filter."""
+        if of.cut is not None:
+            return of.cut(list(versions))
         if of.single and len(versions) == 1:
             (a, b), = versions
             return of.df.filter((F.col("f") <= b) & (F.col("t") >= a)).withColumns({"f": F.greatest("f", F.lit(a)), "t": F.least("t", F.lit(b))})
@@ -79,6 +82,30 @@ class Graph:
     def edge_by_id(self, name: str, edge_id) -> DataFrame:
         return self.edges[name].df.filter(F.col("id") == edge_id)
 
+    def _one(self, kind: str, name: str, element_id) -> DataFrame:
+        of = (self.nodes if kind == "node" else self.edges)[name]
+        found = of.df.filter(F.col("id") == element_id)
+        return found.withColumn("rs", of.rs()).drop("f", "t")
+
+    def element_within(self, kind: str, name: str, element_id, versions) -> DataFrame:
+        """One element with its ranges cut to ``versions``; no row if nothing of them is left."""
+        return self._one(kind, name, element_id).withColumn("rs", R.isect(F.col("rs"), R.ranges(*versions))).filter(F.size("rs") > 0)
+
+    def element_exactly(self, kind: str, name: str, element_id, versions) -> DataFrame:
+        """One element with exactly the ranges ``versions``, whatever its own; an empty set of them is refused."""
+        if not versions:
+            raise ValueError("an element needs a range")
+        return self._one(kind, name, element_id).withColumn("rs", R.normalize(R.ranges(*versions)))
+
+    def element_type(self, element_id) -> DataFrame:
+        """``kind`` and ``type`` of the elements that have an id, over all types."""
+        out = None
+        for kind, tables in (("node", self.nodes), ("edge", self.edges)):
+            for name, of in tables.items():
+                one = of.df.filter(F.col("id") == element_id).select(F.lit(kind).alias("kind"), F.lit(name).alias("type")).distinct()
+                out = one if out is None else out.unionByName(one)
+        return out
+
     def node_by_key(self, name: str, **key) -> DataFrame:
         out = self.nodes[name].df
         for column, value in key.items():

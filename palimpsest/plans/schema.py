@@ -116,6 +116,13 @@ class Schema:
         ends = [(f"{side}{i}", p) for side, end in (("s", e.source), ("d", e.target)) for i, (_, p) in enumerate(self.key_columns(end))]
         return ends, [(f"p_{p.name}", p) for p in e.properties]
 
+    def key_names(self, element: str) -> list[str]:
+        """What each key column of ``table_columns`` stands for, by name."""
+        e = self.element(element)
+        if isinstance(e, Node):
+            return [c for c, _ in self.key_columns(element)]
+        return [f"{side}:{c}" for side, end in (("s", e.source), ("d", e.target)) for c, _ in self.key_columns(end)]
+
     def parents(self, node: str) -> Iterator[tuple[str, str, int]]:
         """Key edges of a node type: edge, parent type and the offset of the parent's key in the flattened key."""
         n, at = self.node(node), 0

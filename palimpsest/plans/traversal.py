@@ -172,10 +172,11 @@ class Traversal:
         return Then(self, Step(lambda fr: _same_as(fr, name)))
 
     # -- repetition and scoped operators
-    def many(self, limit: int = 1000) -> Traversal:
+    def many(self, limit: int | None = None) -> Traversal:
+        """Zero or more steps; they end by themselves, ``limit`` refuses more of them."""
         return Repeat(self, True, limit)
 
-    def many1(self, limit: int = 1000) -> Traversal:
+    def many1(self, limit: int | None = None) -> Traversal:
         return Repeat(self, False, limit)
 
     def opt(self) -> Traversal:
@@ -566,7 +567,7 @@ class Repeat(Traversal):
 
     step: Traversal
     with_none: bool
-    limit: int
+    limit: int | None
 
     def run(self, frame: Frame) -> Frame:
         n = next(_serial)
@@ -581,7 +582,7 @@ class Repeat(Traversal):
         none = F.array().cast(f"array<{kind}>")
         level = replace(level, df=level.df.withColumn(acc, none), keep=(*level.keep, acc))
         done = [_branch(level, 0)] if self.with_none else []
-        for depth in range(1, self.limit + 1):
+        for depth in count(1):
             went = self.step.run(level)
             piece = F.slice(F.col("path"), F.col(size) + 1, F.greatest(F.size("path") - F.col(size), F.lit(0)))
             df = went.df.withColumn("_piece", piece).filter(~F.array_contains(F.col(seen), F.col("_piece")))
@@ -590,10 +591,10 @@ class Repeat(Traversal):
             went = replace(went, df=materialize(df, "level"), attached=False)
             if went.df.isEmpty():
                 break
+            if self.limit is not None and depth > self.limit:
+                raise TraversalError(f"more than {self.limit} repetitions")
             level = went
             done.append(_branch(went, depth))
-        else:
-            raise TraversalError(f"more than {self.limit} repetitions")
         if not done:
             done = [_branch(replace(level, df=level.df.filter(F.lit(False))), 0)]
         out = _union(done).value(F.col(acc))

@@ -130,12 +130,13 @@ def _read(store: Store, path: str) -> tuple[DataFrame, dict[str, str], list[str]
     return records, modes, warnings
 
 
-def import_archive(store: Store, path: str, previous: str | None = None) -> Report:
+def import_archive(store: Store, path: str, previous: str | None = None, source: str | None = None) -> Report:
     """Import an archive as the next version.
 
     Each element is loaded ``full`` (what is absent is deleted) or ``incremental`` (nothing is deleted).  With the
     archive of the last import at hand, a full load whose element was full there too is done as a difference: only new
-    and changed records are written and only keys that left the file are deleted.
+    and changed records are written and only keys that left the file are deleted.  A ``source`` names the import: one that
+    a version has already is not applied again.
     """
     records, modes, warnings = _read(store, path)
     last, last_modes = (None, {})
@@ -147,22 +148,29 @@ def import_archive(store: Store, path: str, previous: str | None = None) -> Repo
         rows, report.rejects[name] = typed(store.schema, name, of(records))
         before = typed(store.schema, name, of(last))[0] if mode == "full" and last_modes.get(name) == "full" else None
         loads[name] = Load(rows, mode, before)
-    report.version, report.refused = store.load(loads)
+    report.version, report.refused = store.load(loads, source)
     return report
 
 
 def import_and_file(store: Store, path: str, folder: str) -> Report:
-    """``import_archive``, then move the archive to ``imported/<version>.zip`` or ``failed/<time>-<name>`` of a folder."""
+    """``import_archive``, then move the archive to ``imported/<version>.zip`` or ``failed/<time>-<name>`` of a folder.
+
+    The version that an archive became remembers its name, time and length, so a second try after a crash only files it.
+    """
     fs, jvm_path = store._fs, store.spark._jvm.org.apache.hadoop.fs.Path
     folder, name = folder.rstrip("/"), path.rstrip("/").rpartition("/")[2]
     last = f"{folder}/imported/{store.version()}.zip"
+    if not fs.exists(jvm_path(path)):  # filed by a try before this one
+        return Report(store.version(), [f"{name}: no longer there"])
+    status = fs.getFileStatus(jvm_path(path))
+    source = f"{name}:{status.getModificationTime()}:{status.getLen()}"
 
     def move(to: str) -> None:
         fs.mkdirs(jvm_path(to).getParent())
         fs.rename(jvm_path(path), jvm_path(to))
 
     try:
-        report = import_archive(store, path, last if fs.exists(jvm_path(last)) else None)
+        report = import_archive(store, path, last if fs.exists(jvm_path(last)) else None, source)
     except Exception:
         move(f"{folder}/failed/{int(time.time() * 1000)}-{name}")
         raise

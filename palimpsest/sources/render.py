@@ -1,7 +1,7 @@
 """Tables, paths and schemas as JSON, CSV, DOT and GraphML text.
 
-Renderers are for results that a person looks at: they collect, and refuse more rows than ``limit``.  Large tables go
-out through ``write_csv`` and ``write_json``, which stay distributed.
+Renderers are for results that a person looks at: they collect, and refuse more rows than ``limit`` (``None`` for no bound).
+Large tables go out through ``write_csv`` and ``write_json``, which stay distributed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ class TooLarge(ValueError):
     pass
 
 
-def _collect(df: DataFrame, limit: int) -> list:
+def _collect(df: DataFrame, limit: int | None) -> list:
+    if limit is None:
+        return df.collect()
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise TooLarge(f"more than {limit} rows; write the table instead")
@@ -47,7 +49,7 @@ def _plain(value):
 # -- tables
 
 
-def table_csv(df: DataFrame, limit: int = LIMIT) -> str:
+def table_csv(df: DataFrame, limit: int | None = LIMIT) -> str:
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(df.columns)
@@ -56,7 +58,7 @@ def table_csv(df: DataFrame, limit: int = LIMIT) -> str:
     return out.getvalue()
 
 
-def table_json(df: DataFrame, timings=(), limit: int = LIMIT) -> str:
+def table_json(df: DataFrame, timings=(), limit: int | None = LIMIT) -> str:
     rows = [[_plain(v) for v in row] for row in _collect(df, limit)]
     return json.dumps({"resultType": "Table", "columnNames": df.columns, "columnTypes": [t for _, t in df.dtypes], "rows": rows, "timings": _timings(timings)}, ensure_ascii=False)
 
@@ -83,7 +85,7 @@ def _number(e) -> str:
     return f"-{e['id']}" if e["kind"] == "edge" and not e["fwd"] else str(e["id"])
 
 
-def paths_json(paths: DataFrame, graph: Graph | None = None, timings=(), limit: int = LIMIT) -> str:
+def paths_json(paths: DataFrame, graph: Graph | None = None, timings=(), limit: int | None = LIMIT) -> str:
     """Paths from the root, labels with all ranges of each value, and what is known of each element on them."""
     labels = [c for c in paths.columns if c not in ("path", "rs", "value")]
     rows = _collect(paths, limit)
@@ -123,7 +125,7 @@ def element_json(graph: Graph, kind: str, type_name: str, element_id) -> str:
 
 
 def _q(text: str) -> str:
-    return '"' + str(text).replace("\\", "\\\\").replace('"', '\\"') + '"'
+    return '"' + str(text).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 
 
 def _hops(path: list) -> list[tuple]:
@@ -137,39 +139,52 @@ def _hops(path: list) -> list[tuple]:
     return out
 
 
-def _dot_head(paths: list, label: str | None) -> list[str]:
+def _fields(**values) -> str:
+    return "[" + ", ".join(f"{k}={_q(v)}" for k, v in values.items() if v != "") + "]"
+
+
+def _hue(n: int) -> str:
+    """The n-th of any number of hues, each far from those before it (steps of the golden ratio)."""
+    return f"{n * 0.61803398875 % 1:.4f} 0.65 0.80"
+
+
+def _dot_frame(paths: list, label: str | None) -> list[str]:
+    """The opening lines and the nodes: rounded boxes, the type over the id; ``pseudo`` stands for an unknown end."""
     nodes = {(e["type"], e["id"]) for p in paths for e in p if e["kind"] == "node"}
-    lines = ["digraph paths {", *([f"label={_q(label)}"] if label else []), "graph [charset=utf8 rankdir=LR]", "node [shape=rect]"]
+    lines = ["digraph paths {", f"  node {_fields(shape='box', style='rounded', fontname='Helvetica')};", f"  edge {_fields(fontname='Helvetica', fontsize='10')};"]
+    if label:
+        lines.append(f"  graph {_fields(label=label, labelloc='t')};")
+    lines += [f"  {_q(i)} {_fields(label=f'{t} {i}', tooltip=t)};" for t, i in sorted(nodes, key=str)]
     if any("pseudo" in (a, b) for p in paths for a, _, b in _hops(p)):
-        lines.append("pseudo [shape=circle]")
-    return lines + [f"{_q(i)} [label=<<B>{html.escape(t)}</B><br/>{html.escape(str(i))}>]" for t, i in sorted(nodes, key=str)]
+        lines.append(f"  pseudo {_fields(label='?', style='dashed')};")
+    return lines
 
 
-def paths_dot(paths: DataFrame, label: str | None = None, limit: int = LIMIT) -> str:
+def paths_dot(paths: DataFrame, label: str | None = None, limit: int | None = LIMIT) -> str:
     """Every path in a colour of its own."""
     rows = [r["path"] for r in _collect(paths.select("path"), limit)]
-    lines = _dot_head(rows, label)
+    lines = _dot_frame(rows, label)
     for n, p in enumerate(rows):
-        lines += [f'{_q(a)} -> {_q(b)} [label=<{html.escape(e["type"])}> color="{n / max(len(rows), 1):.3f} 1.000 1.000"]' for a, e, b in _hops(p)]
+        lines += [f"  {_q(a)} -> {_q(b)} {_fields(label=e['type'], color=_hue(n))};" for a, e, b in _hops(p)]
     return "\n".join([*lines, "}"])
 
 
-def paths_dot_aggregated(paths: DataFrame, label: str | None = None, limit: int = LIMIT) -> str:
+def paths_dot_aggregated(paths: DataFrame, label: str | None = None, limit: int | None = LIMIT) -> str:
     """Each edge once: as wide as the root of its weight, coloured by the shares of the paths that walk it."""
     rows = [r["path"] for r in _collect(paths.select("path"), limit)]
     weights = _collect(weighted_edges(paths), limit)
-    ids = sorted({(w["path_id"]["h"], w["path_id"]["copy"]) for r in weights for w in r["paths"]})
-    colour = {i: f"{n / len(ids):.3f} 1.000 1.000" for n, i in enumerate(ids)}
+    key = lambda w: (w["path_id"]["h"], w["path_id"]["copy"])
+    hue = {i: _hue(n) for n, i in enumerate(sorted({key(w) for r in weights for w in r["paths"]}))}
     ends = {json.dumps(_plain(e), sort_keys=True): (a, b) for p in rows for a, e, b in _hops(p)}
-    lines = _dot_head(rows, label)
-    for r in sorted(weights, key=lambda r: json.dumps(_plain(r["edge"]), sort_keys=True)):
-        a, b = ends[json.dumps(_plain(r["edge"]), sort_keys=True)]
-        shares = ":".join(sorted(f"{colour[(w['path_id']['h'], w['path_id']['copy'])]};{w['weight'] / r['weight']:.5f}" for w in r["paths"]))
-        lines.append(f'{_q(a)} -> {_q(b)} [label=<{html.escape(r["edge"]["type"])}> color="{shares}" penwidth="{math.sqrt(r["weight"]):.3f}"]')
+    lines = _dot_frame(rows, label)
+    for name, r in sorted((json.dumps(_plain(r["edge"]), sort_keys=True), r) for r in weights):
+        a, b = ends[name]
+        shares = sorted((hue[key(w)], w["weight"] / r["weight"]) for w in r["paths"])
+        lines.append(f"  {_q(a)} -> {_q(b)} {_fields(label=r['edge']['type'] + ' × ' + str(r['weight']), color=':'.join(f'{h};{share:.4f}' for h, share in shares), penwidth=f'{math.sqrt(r['weight']):.2f}')};")
     return "\n".join([*lines, "}"])
 
 
-def paths_graphml(paths: DataFrame, name: str = "paths", limit: int = LIMIT) -> str:
+def paths_graphml(paths: DataFrame, name: str = "paths", limit: int | None = LIMIT) -> str:
     rows = [r["path"] for r in _collect(paths.select("path"), limit)]
     hops = [h for p in rows for h in _hops(p)]
     text = lambda x: html.escape(str(x), quote=True)
@@ -178,7 +193,11 @@ def paths_graphml(paths: DataFrame, name: str = "paths", limit: int = LIMIT) ->
     lines += [f'<node id="{text(i)}"><data key="label">{text(t)}</data></node>' for t, i in nodes]
     if any("pseudo" in (a, b) for a, _, b in hops):
         lines.append('<node id="pseudo"/>')
-    lines += [f'<edge source="{text(a)}" target="{text(b)}"><data key="label">{text(e["type"])}</data></edge>' for a, e, b in hops]
+    weight: dict[tuple, int] = {}
+    for a, e, b in hops:  # an edge that several paths walk is one edge with their number
+        weight[a, e["type"], e["id"], b] = weight.get((a, e["type"], e["id"], b), 0) + 1
+    for (a, kind, _, b), n in sorted(weight.items(), key=str):
+        lines.append(f'<edge source="{text(a)}" target="{text(b)}"><data key="label">{text(kind)}</data><data key="weight">{n}</data></edge>')
     return "\n".join([*lines, "</graph>", "</graphml>"])
 
 
@@ -214,12 +233,12 @@ def schema_meta(schema: Schema) -> dict:
 
 
 def schema_dot(schema: Schema) -> str:
-    lines = [f"digraph {_q(schema.name)} {{", "graph [charset=utf8 rankdir=BT]", "node [shape=rect] edge [arrowhead=empty]"]
+    """Node types with their properties (``#`` marks keys), edge types with their cardinalities; key edges are bold."""
+    lines = [f"digraph {_q(schema.name)} {{", f"  node {_fields(shape='box', fontname='Helvetica')};", f"  edge {_fields(fontname='Helvetica', fontsize='10')};"]
+    listed = lambda e, keys=(): [("# " if p.name in keys else "") + f"{p.name}: {p.kind}" for p in e.properties]
     for n in schema.nodes:
-        props = "<br/>".join(f"<u>{html.escape(p.name)}</u> : {html.escape(p.kind)}" if p.name in n.key else f"{html.escape(p.name)} : {html.escape(p.kind)}" for p in n.properties)
-        lines.append(f"{_q(n.name)} [label=<<B>{html.escape(n.name)}</B><br/>{props}>]")
+        lines.append(f"  {_q(n.name)} {_fields(label=chr(10).join([n.name, *listed(n, n.key)]), tooltip=n.desc)};")
     for e in schema.edges:
-        width = "penwidth=2 " if schema.is_key_edge(e.name) else ""
-        props = "<br/>".join(html.escape(p.name) for p in e.properties)
-        lines.append(f"{_q(e.source)} -> {_q(e.target)} [{width}label=<<b>{html.escape(e.name)}</b><br/>{props}> taillabel=<{e.from_card}> headlabel=<{e.to_card}>]")
+        label = "\n".join([f"{e.name} ({e.from_card} to {e.to_card})", *listed(e)])
+        lines.append(f"  {_q(e.source)} -> {_q(e.target)} {_fields(label=label, style='bold' if schema.is_key_edge(e.name) else 'solid', tooltip=e.desc)};")
     return "\n".join([*lines, "}"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,12 +11,16 @@ from ..operators.store import Store
 from ..sources.archives import import_and_file
 
 
+_log = logging.getLogger(__name__)
+
+
 def watch(store: Store, folder: str, checkpoint: str, interval: str = "10 seconds", once: bool = False, max_files: int = 1) -> StreamingQuery:
     """Import every archive put into ``folder/incoming``.
 
-    The stream's checkpoint remembers what was taken, so a restart neither skips nor repeats an archive; a failed one is
-    filed under ``failed`` and the stream goes on.  Only paths pass through the stream, the archives are read by the
-    import.  ``once`` takes what is there and stops.
+    The stream's checkpoint remembers what was taken, so a restart skips nothing; a batch that runs again after a crash
+    finds each archive that became a version in its manifest, or filed already, and does not import it twice.  A failed
+    one is filed under ``failed`` and the stream goes on; the reason goes to the log.  Only paths pass through the
+    stream, the archives are read by the import.  ``once`` takes what is there and stops.
     """
     folder = folder.rstrip("/")
     stream = store.spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", max_files).option("latestFirst", "false").schema("path string, modificationTime timestamp, length long, content binary").load(f"{folder}/incoming")
@@ -24,7 +30,7 @@ def watch(store: Store, folder: str, checkpoint: str, interval: str = "10 second
             try:
                 import_and_file(store, row["path"], folder)
             except Exception as e:  # filed under failed/; one bad archive does not stop the others
-                print(f"import of {row['path']} failed: {e}")
+                _log.warning("import of %s failed: %s", row["path"], e)
 
     writer = stream.select("path", "modificationTime").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
