@@ -134,9 +134,48 @@ def property_history(spark, sf_dir):
     return found.select("id", F.explode(R.split(F.col("history"))).alias("h")).select("id", "h.f", "h.t", "h.v")
 
 
+@query("SELECT o_custkey AS src, id, f, t::INTEGER AS t FROM n_order WHERE id = 3")
+def edge_by_id(spark, sf_dir):
+    return sample_graph(spark, sf_dir).edge_by_id("placed_by", 3).select(F.col("dst").alias("src"), "id", "f", "t")
+
+
+@query("SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey = 2")
+def node_by_id(spark, sf_dir):
+    return sample_graph(spark, sf_dir).node_by_id("Supplier", 2).select("id", F.col("p_s_name").alias("s_name"))
+
+
+@query("SELECT src, dst, qty, f::INTEGER AS f, t::INTEGER AS t FROM e_contains WHERE (src, dst) = (SELECT src, min(dst) FROM e_contains WHERE src = (SELECT min(src) FROM e_contains) GROUP BY src)")
+def edge_between(spark, sf_dir):
+    g = sample_graph(spark, sf_dir)
+    first = g.edges["contains"].df.agg(F.min(F.struct("src", "dst")).alias("m")).first()["m"]
+    return g.edge_between("contains", first["src"], first["dst"]).select("src", "dst", F.col("p_qty").alias("qty"), "f", "t")
+
+
+@query("SELECT user_id AS id, greatest(f, 2) AS f, least(t, 12) AS t FROM u_ranges WHERE user_id = 4 AND greatest(f, 2) <= least(t, 12)")
+def element_within(spark, sf_dir):
+    return _spread(sample_graph(spark, sf_dir).element_within("node", "User", 4, ((2, 12),)), F.col("id"))
+
+
+@query("SELECT DISTINCT user_id AS id, 5 AS f, 9 AS t FROM u_rows WHERE user_id = 4")
+def element_exactly(spark, sf_dir):
+    return _spread(sample_graph(spark, sf_dir).element_exactly("node", "User", 4, ((5, 7), (8, 9))), F.col("id"))
+
+
+@query("SELECT 'node' AS kind, 'Part' AS type FROM part WHERE p_partkey = 150 UNION ALL SELECT 'node', 'Order' FROM orders WHERE o_orderkey = 150 UNION ALL SELECT 'edge', 'placed_by' FROM orders WHERE o_orderkey = 150 UNION ALL SELECT 'node', 'Customer' FROM customer WHERE c_custkey = 150 UNION ALL SELECT 'edge', 'in_nation' FROM customer WHERE c_custkey = 150 UNION ALL SELECT 'node', 'Supplier' FROM supplier WHERE s_suppkey = 150 UNION ALL SELECT 'edge', 'from_nation' FROM supplier WHERE s_suppkey = 150 "
+       "UNION ALL SELECT DISTINCT 'node', 'User' FROM u_rows WHERE user_id = 150 UNION ALL SELECT DISTINCT 'edge', 'is_customer' FROM u_rows WHERE user_id = 150 UNION ALL SELECT 'node', 'Turn' FROM conversations WHERE conv_id * 1000 + turn = 150 UNION ALL SELECT 'edge', 'next_turn' FROM e_turn WHERE src = 150")
+def element_type(spark, sf_dir):
+    return sample_graph(spark, sf_dir).element_type(150)
+
+
 # -- navigation
 
 
+@query("SELECT o_custkey AS customer_id, id AS order_id, f::INTEGER AS f, t::INTEGER AS t FROM n_order WHERE o_totalprice > 200000")
+def out_v(spark, sf_dir):
+    way = t.V("Customer") >> t.in_e("placed_by") >> t.out_v() >> t.where("o_totalprice", lambda v: v > 200000)
+    return _ids(t.paths(sample_graph(spark, sf_dir), way), "customer_id", "-", "order_id")
+
+
 @query("SELECT id AS order_id, o_custkey AS customer_id, f, t::INTEGER AS t FROM n_order")
 def out_hop(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), t.V("Order") >> t.out("placed_by")), "order_id", "-", "customer_id")
@@ -235,9 +274,46 @@ def versions_value(spark, sf_dir):
     return df.select(F.col("path")[0]["id"].alias("id"), F.size("value").alias("n"))
 
 
+@query("SELECT user_id AS id, f, t FROM u_types WHERE event_type = 'purchase'")
+def filter_versioned(spark, sf_dir):
+    way = t.V("User") >> t.get("event_type").filter_versioned(lambda h: R.normalize(R.keep(h, lambda v: v == "purchase")))
+    return _spread(t.paths(sample_graph(spark, sf_dir), way), F.col("path")[0]["id"].alias("id"))
+
+
+@query("SELECT DISTINCT user_id AS id FROM u_ranges WHERE f <= 10 AND 10 <= t")
+def range_contains(spark, sf_dir):
+    return sample_graph(spark, sf_dir).nodes["User"].df.filter(R.contains(F.col("rs"), 10)).select("id")
+
+
+@query(f"SELECT user_id AS id, (min(f) - 1)::INTEGER AS before, (CASE WHEN max(t) = {H} THEN NULL ELSE max(t) + 1 END)::INTEGER AS after FROM u_ranges GROUP BY user_id")
+def range_neighbours(spark, sf_dir):
+    users = sample_graph(spark, sf_dir).nodes["User"].df
+    last = R.last_version(F.col("rs"))
+    return users.select("id", R.previous(R.first_version(F.col("rs"))).alias("before"), F.when(last != H, R.following(last)).alias("after"))
+
+
 # -- histories
 
 
+@query("SELECT user_id AS id, count(*)::INTEGER AS n FROM (SELECT *, sum(CASE WHEN pe = event_type AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(event_type) OVER w AS pe FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) WHERE pe IS NULL OR pe <> event_type OR p < f - 1 GROUP BY user_id")
+def history_values(spark, sf_dir):
+    df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.get("event_type"))
+    return df.select(F.col("path")[0]["id"].alias("id"), F.size(R.values(F.col("value"))).alias("n"))
+
+
+@query("SELECT user_id AS id, f, t FROM u_ranges")
+def history_versions(spark, sf_dir):
+    df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.get("value"))
+    return df.select(F.col("path")[0]["id"].alias("id"), F.explode(R.versions(F.col("value"))).alias("r")).select("id", "r.f", "r.t")
+
+
+@query("SELECT user_id AS id FROM (SELECT user_id, min(CASE WHEN value > 90 THEN f END) AS k FROM u_rows GROUP BY user_id) ORDER BY k NULLS FIRST, id LIMIT 10")
+def order_empty_first(spark, sf_dir):
+    """Histories that a filter leaves empty sort before all others."""
+    way = (t.V("User") >> t.get("value").map(lambda h: R.keep(h, lambda v: v > 90))).ascending(R.by_from).take(10)
+    return t.paths(sample_graph(spark, sf_dir), way).select(F.col("path")[0]["id"].alias("id"))
+
+
 @query("SELECT user_id AS id, event_type AS v, f, t FROM u_types")
 def history_extract(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.get("event_type").subs())
@@ -310,6 +386,28 @@ def opt(spark, sf_dir):
     return _ids(df, "region_id", n=F.size("path"))
 
 
+@query("SELECT c_custkey AS id, NOT EXISTS (SELECT 1 FROM n_order o WHERE o.o_custkey = c_custkey AND o.o_totalprice > 300000) AS missing FROM customer")
+def matches_not_value(spark, sf_dir):
+    way = t.V("Customer") >> t.matches_not(t.in_("placed_by") >> t.where("o_totalprice", lambda v: v > 300000))
+    return _ids(t.paths(sample_graph(spark, sf_dir), way), "id", ranges=False, missing=F.col("value"))
+
+
+@query("SELECT s_suppkey AS id, 'here' AS v FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, 'always' FROM supplier")
+def success_fail(spark, sf_dir):
+    """A branch that gives a constant, one that drops everything and one without a condition."""
+    rich = t.where("s_acctbal", lambda v: v > 0) >> t.success("here")
+    df = t.paths(sample_graph(spark, sf_dir), t.V("Supplier") >> (rich | (t.fail() >> t.success("never")) | t.success("always")))
+    return _ids(df, "id", ranges=False, v=F.col("value"))
+
+
+@query("SELECT id, 3 AS steps, greatest(f, 12)::INTEGER AS f, least(t, 24)::INTEGER AS t FROM n_order WHERE greatest(f, 12) <= least(t, 24)")
+def path_state(spark, sf_dir):
+    """The state as a value, and a state that was changed: ranges cut by hand."""
+    way = t.V("Order") >> t.update_state(lambda fr: fr.wide().narrow_to(R.isect(F.col("rs"), R.ranges((12, 24))))) >> t.out("placed_by") >> t.get_state()
+    df = t.paths(sample_graph(spark, sf_dir), way)
+    return df.select(F.col("value.path")[0]["id"].alias("id"), F.size("value.path").alias("steps"), F.explode("value.rs").alias("r")).select("id", "steps", "r.f", "r.t")
+
+
 @query("SELECT c_custkey AS id, count(o.id)::INTEGER AS n, coalesce(min(o.id), -1) AS first_id FROM customer LEFT JOIN n_order o ON c_custkey = o.o_custkey GROUP BY c_custkey")
 def sub_collect_count(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.sub(t.in_("placed_by")))
@@ -499,7 +597,6 @@ _sql("sql_values", "SELECT v.a + 1 AS b FROM (VALUES (1), (2)) AS v(a)")
 
 # -- writing histories
 
-_DAYS = 5
 _USERS = Schema((Node("Account", (Property("user_id", "long"), Property("event_type", "string"), Property("value", "double")), ("user_id",)),), name="accounts")
 
 
@@ -509,18 +606,16 @@ def _days(spark, sf_dir):
     return last.select(F.col("user_id").alias("k0"), "d", F.col("e.event_type").alias("p_event_type"), F.col("e.value").alias("p_value"), F.lit(0).cast("long").alias("_n"))
 
 
-def _loaded(spark, sf_dir, mode: str, difference: bool = False, n_days: int | None = _DAYS) -> Store:
-    """Event days as snapshots, day ``d`` as version ``d + 1``: the first ``n_days``, or all up to the last in the table."""
+def _loaded(spark, sf_dir, mode: str, difference: bool = False) -> Store:
+    """Every event day as a snapshot, day ``d`` as version ``d + 1``, up to the last day in the table."""
     store = Store(spark, f"{shared_dir(spark)}/accounts-{uuid.uuid4().hex}", _USERS)
     days = _days(spark, sf_dir)
-    if n_days is None:
-        # written once, a folder for each day, so the events are not read again for every import
-        schema, path = days.schema, f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
-        days.repartition("d").write.partitionBy("d").parquet(path)
-        days = spark.read.schema(schema).parquet(path)
-        last = days.agg(F.max("d").alias("d")).first()["d"]
-        n_days = 0 if last is None else last + 1
-    for d in range(n_days):
+    # written once, a folder for each day, so the events are not read again for every import
+    schema, path = days.schema, f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    days.repartition("d").write.partitionBy("d").parquet(path)
+    days = spark.read.schema(schema).parquet(path)
+    last = days.agg(F.max("d").alias("d")).first()["d"]
+    for d in range(0 if last is None else last + 1):
         one = days.filter(F.col("d") == d).drop("d")
         store.load({"Account": Load(one, mode, days.filter(F.col("d") == d - 1).drop("d") if difference and d else None)})
     return store
@@ -530,8 +625,8 @@ def _history_rows(store: Store) -> DataFrame:
     return store.rows("Account").select(F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "f", "t")
 
 
-_DAYROWS = f"WITH d AS (SELECT user_id, day + 1 AS v, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND day < {_DAYS})"
-_FULL = f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))), hist AS (SELECT user_id, event_type, value, min(v)::INTEGER AS f, (CASE WHEN max(v) = {_DAYS} THEN {H} ELSE max(v) END)::INTEGER AS t FROM runs GROUP BY user_id, event_type, value, g)"
+_DAYROWS = f"WITH d AS (SELECT user_id, day + 1 AS v, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"
+_FULL = f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))), hist AS (SELECT user_id, event_type, value, min(v)::INTEGER AS f, (CASE WHEN max(v) = (SELECT max(v) FROM d) THEN {H} ELSE max(v) END)::INTEGER AS t FROM runs GROUP BY user_id, event_type, value, g)"
 
 
 @query(f"{_FULL} SELECT * FROM hist")
@@ -554,20 +649,35 @@ def scd2_revive(spark, sf_dir):
     return _revived(_loaded(spark, sf_dir, "full"))
 
 
-def _all_days(name: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
-    """The query ``name`` over every event day: its SQL without the bound, open ranges end at the last version."""
-    text = ORACLES[name].replace(f" AND day < {_DAYS}", "").replace(f"max(v) = {_DAYS} ", "max(v) = (SELECT max(v) FROM d) ")
-    QUERIES[f"{name}_all_days"], ORACLES[f"{name}_all_days"] = run, text
-
-
 def _revived(store: Store) -> DataFrame:
     return _spread(store.read().nodes["Account"].df.filter(F.size("rs") > 1), F.col("p_user_id").alias("user_id"))
 
 
-_all_days("scd2_full", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "full", n_days=None)))
-_all_days("scd2_differential", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "full", True, n_days=None)))
-_all_days("scd2_incremental", lambda spark, sf_dir: _history_rows(_loaded(spark, sf_dir, "incremental", n_days=None)))
-_all_days("scd2_revive", lambda spark, sf_dir: _revived(_loaded(spark, sf_dir, "full", n_days=None)))
+#: Earlier names of the same queries; they are not registered twice.
+ALIASES = {f"{n}_all_days": n for n in ("scd2_full", "scd2_differential", "scd2_incremental", "scd2_revive")}
+QUERIES.update({a: QUERIES[n] for a, n in ALIASES.items()})
+ORACLES.update({a: ORACLES[n] for a, n in ALIASES.items()})
+
+
+@query(f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))) "
+       "SELECT user_id, event_type, value, 11 AS f, 11 AS t FROM d WHERE v = 11")
+def stored_as_of(spark, sf_dir):
+    """A slice of one version of a stored graph: plain rows, the filter on the ranges is in the scans."""
+    store = _loaded(spark, sf_dir, "full")
+    return store.read(within=(11, 11)).nodes["Account"].df.select(F.col("p_user_id").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "f", "t")
+
+
+@query(f"{_FULL}, cut AS (SELECT user_id, greatest(f, 6) AS f, least(t, 9) AS t FROM hist WHERE f <= 9 AND t >= 6) SELECT user_id, min(f)::INTEGER AS f, max(t)::INTEGER AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM cut)) GROUP BY user_id, g")
+def stored_slice(spark, sf_dir):
+    """A slice of several versions of a stored graph: rows are filtered in the scans, then grouped."""
+    return _spread(_loaded(spark, sf_dir, "full").read().nodes_at("Account", ((6, 9),)), F.col("p_user_id").alias("user_id"))
+
+
+@query(f"{_DAYROWS} SELECT d.v::INTEGER AS version, d.user_id, d.event_type, d.value FROM d LEFT JOIN d b ON b.user_id = d.user_id AND b.v = d.v - 1 AND b.event_type = d.event_type AND b.value = d.value WHERE b.user_id IS NULL")
+def diff_except_all(spark, sf_dir):
+    """What each version has that the one before has not, for all versions at once."""
+    days = _days(spark, sf_dir).select((F.col("d") + 1).cast("int").alias("version"), F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"))
+    return days.subtract(days.withColumn("version", F.col("version") + 1))
 
 
 @query(f"{_DAYROWS} SELECT user_id, event_type, value FROM d WHERE v = 4 EXCEPT SELECT user_id, event_type, value FROM d WHERE v = 3")
