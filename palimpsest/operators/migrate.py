@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -96,6 +97,30 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.when(F.col("t") == R.HEAD, "open").otherwise("closed"))
 
 
+def add_key_property(store: Store, new: Schema, node: str, name: str, default: object) -> Store:
+    """The store under ``new``, in which ``node`` has one more key property: ``default`` for all nodes that ever were.
+
+    Identities that hold the node's key, those of weak nodes and of the ends of edges, get it too.  One version.
+    """
+    before, after = store.schema.node(node), Store(store.spark, store.root, new)
+    if name in before.key or name not in new.node(node).key:
+        raise MigrationError(f"{node}.{name} is not a new key property")
+    base = store.version()
+    whole = {}
+    for element, entry in store.manifest(base)["elements"].items():
+        names, keys = new.key_names(element), new.table_columns(element)[0]
+        if sorted(names) == sorted(entry["keys"]):
+            continue
+        old = dict(zip(store.schema.key_names(element), store._columns(element)[0]))
+        if any(n not in old and re.split(r"[#:]", n)[-1] != name for n in names) or set(old) - set(names):
+            raise MigrationError(f"the key of {element} changes in other ways")
+        columns = [(F.col(old[n]) if n in old else F.lit(default).cast(p.spark)).alias(c) for n, (c, p) in zip(names, keys)]
+        whole[element] = _parted(store.rows(element, base).select(*columns, *after._columns(element)[1], "f", "t"))
+    if whole:
+        after.replace(whole, base)
+    return after
+
+
 def add_rows(store: Store, element: str, rows: DataFrame) -> int:
     """Backdated writes: rows with explicit ranges join the history in a new version.
 

@@ -23,12 +23,33 @@ ORACLES: dict[str, str] = {}
 
 #: The graph's tables in SQL.
 _SQL = {
-    "n_order": f"SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, f, CASE WHEN o_orderstatus = 'F' THEN f + o_orderkey % 12 ELSE {H} END AS t FROM (SELECT *, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS f FROM orders)",
-    "e_contains": f"SELECT l_orderkey AS src, l_partkey AS dst, l_quantity AS qty, l_extendedprice AS price, f, CASE WHEN l_returnflag = 'R' THEN f + 6 ELSE {H} END AS t FROM (SELECT *, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS f, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn FROM lineitem) WHERE rn = 1",
-    "u_rows": f"SELECT user_id, f, t, event_type, value FROM (SELECT user_id, d AS f, coalesce(lead(d) OVER (PARTITION BY user_id ORDER BY d) - 1, {H}) AS t, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS d, event_type, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1) WHERE event_type <> 'error'",
-    "u_ranges": "SELECT user_id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM u_rows)) GROUP BY user_id, g",
-    "u_types": "SELECT user_id, event_type, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY f) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY f) AS p FROM u_rows)) GROUP BY user_id, event_type, g",
-    "e_turn": "SELECT a.conv_id * 1000 + a.turn AS src, b.conv_id * 1000 + b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn",
+    "n_order": (
+        f"SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, f, CASE WHEN o_orderstatus = 'F' THEN f + o_orderkey % 12 ELSE {H} "
+        f"END AS t FROM (SELECT *, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS f FROM orders)"
+    ),
+    "e_contains": (
+        f"SELECT l_orderkey AS src, l_partkey AS dst, l_quantity AS qty, l_extendedprice AS price, f, CASE WHEN l_returnflag = 'R' THEN f + 6 ELSE {H} END AS t "
+        f"FROM (SELECT *, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS f, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY "
+        f"l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn FROM lineitem) WHERE rn = 1"
+    ),
+    "u_rows": (
+        f"SELECT user_id, f, t, event_type, value FROM (SELECT user_id, d AS f, coalesce(lead(d) OVER (PARTITION BY user_id ORDER BY d) - 1, {H}) AS t, "
+        f"event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS d, event_type, value, row_number() OVER (PARTITION BY "
+        f"user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1) WHERE event_type <> 'error'"
+    ),
+    "u_ranges": (
+        "SELECT user_id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM "
+        "(SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM u_rows)) GROUP BY user_id, g"
+    ),
+    "u_types": (
+        "SELECT user_id, event_type, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, "
+        "event_type ORDER BY f) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY f) AS p FROM u_rows)) GROUP BY user_id, "
+        "event_type, g"
+    ),
+    "e_turn": (
+        "SELECT a.conv_id * 1000 + a.turn AS src, b.conv_id * 1000 + b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND "
+        "a.turn + 1 = b.turn"
+    ),
 }
 
 
@@ -107,7 +128,10 @@ def slice_multi(spark, sf_dir):
     return _spread(sample_graph(spark, sf_dir).nodes_at("User", ((3, 6), (10, 20))), F.col("id"))
 
 
-@query("SELECT src, dst, 30 AS f, least(t, 40)::INTEGER AS t FROM e_contains WHERE f < 30 AND t >= 30 UNION ALL SELECT src, dst, f, least(t, 40)::INTEGER FROM e_contains WHERE f BETWEEN 30 AND 40")
+@query(
+    "SELECT src, dst, 30 AS f, least(t, 40)::INTEGER AS t FROM e_contains WHERE f < 30 AND t >= 30 UNION ALL SELECT src, dst, f, least(t, 40)::INTEGER "
+    "FROM e_contains WHERE f BETWEEN 30 AND 40"
+)
 def edges_at_versions(spark, sf_dir):
     return sample_graph(spark, sf_dir).edges_at("contains", ((30, 40),)).select("src", "dst", "f", "t")
 
@@ -144,7 +168,10 @@ def node_by_id(spark, sf_dir):
     return sample_graph(spark, sf_dir).node_by_id("Supplier", 2).select("id", F.col("p_s_name").alias("s_name"))
 
 
-@query("SELECT src, dst, qty, f::INTEGER AS f, t::INTEGER AS t FROM e_contains WHERE (src, dst) = (SELECT src, min(dst) FROM e_contains WHERE src = (SELECT min(src) FROM e_contains) GROUP BY src)")
+@query(
+    "SELECT src, dst, qty, f::INTEGER AS f, t::INTEGER AS t FROM e_contains WHERE (src, dst) = (SELECT src, min(dst) FROM e_contains WHERE src = (SELECT "
+    "min(src) FROM e_contains) GROUP BY src)"
+)
 def edge_between(spark, sf_dir):
     g = sample_graph(spark, sf_dir)
     first = g.edges["contains"].df.agg(F.min(F.struct("src", "dst")).alias("m")).first()["m"]
@@ -186,18 +213,27 @@ def in_hop(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.in_("placed_by")), "customer_id", "-", "order_id")
 
 
-@query("SELECT o.id AS order_id, o.o_custkey AS customer_id, n_nationkey::BIGINT AS nation_id, n_regionkey::BIGINT AS region_id, f, t::INTEGER AS t FROM n_order o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+@query(
+    "SELECT o.id AS order_id, o.o_custkey AS customer_id, n_nationkey::BIGINT AS nation_id, n_regionkey::BIGINT AS region_id, f, t::INTEGER AS t FROM "
+    "n_order o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+)
 def three_hop(spark, sf_dir):
     way = t.V("Order") >> t.out("placed_by") >> t.out("in_nation") >> t.out("in_region")
     return _ids(t.paths(sample_graph(spark, sf_dir), way), "order_id", "-", "customer_id", "-", "nation_id", "-", "region_id")
 
 
-@query("SELECT o.id AS order_id, c.dst AS part_id, greatest(o.f, c.f)::INTEGER AS f, least(o.t, c.t)::INTEGER AS t FROM n_order o JOIN e_contains c ON o.id = c.src WHERE greatest(o.f, c.f) <= least(o.t, c.t)")
+@query(
+    "SELECT o.id AS order_id, c.dst AS part_id, greatest(o.f, c.f)::INTEGER AS f, least(o.t, c.t)::INTEGER AS t FROM n_order o JOIN e_contains c ON o.id = "
+    "c.src WHERE greatest(o.f, c.f) <= least(o.t, c.t)"
+)
 def overlap_hop(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), t.V("Order") >> t.out("contains")), "order_id", "-", "part_id")
 
 
-@query("SELECT o.id AS order_id, c.src * 1000000000 + c.dst AS edge_id, greatest(o.f, c.f)::INTEGER AS f, least(o.t, c.t)::INTEGER AS t FROM n_order o JOIN e_contains c ON o.id = c.src WHERE greatest(o.f, c.f) <= least(o.t, c.t)")
+@query(
+    "SELECT o.id AS order_id, c.src * 1000000000 + c.dst AS edge_id, greatest(o.f, c.f)::INTEGER AS f, least(o.t, c.t)::INTEGER AS t FROM n_order o JOIN "
+    "e_contains c ON o.id = c.src WHERE greatest(o.f, c.f) <= least(o.t, c.t)"
+)
 def edge_only_hop(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), t.V("Order") >> t.out_e("contains")), "order_id", "edge_id")
 
@@ -220,7 +256,10 @@ def cross_scan(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), t.V("Region") >> t.V("Nation")), "region_id", "nation_id")
 
 
-@query("SELECT u.user_id, o.id AS order_id, greatest(u.f, o.f)::INTEGER AS f, least(u.t, o.t)::INTEGER AS t FROM u_ranges u JOIN n_order o ON u.user_id = o.o_custkey WHERE greatest(u.f, o.f) <= least(u.t, o.t)")
+@query(
+    "SELECT u.user_id, o.id AS order_id, greatest(u.f, o.f)::INTEGER AS f, least(u.t, o.t)::INTEGER AS t FROM u_ranges u JOIN n_order o ON u.user_id = "
+    "o.o_custkey WHERE greatest(u.f, o.f) <= least(u.t, o.t)"
+)
 def multi_range_hop(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.out("is_customer") >> t.in_("placed_by"))
     return _spread(df, F.col("path")[0]["id"].alias("user_id"), F.col("path")[4]["id"].alias("order_id"))
@@ -285,7 +324,10 @@ def range_contains(spark, sf_dir):
     return sample_graph(spark, sf_dir).nodes["User"].df.filter(R.contains(F.col("rs"), 10)).select("id")
 
 
-@query(f"SELECT user_id AS id, (min(f) - 1)::INTEGER AS before, (CASE WHEN max(t) = {H} THEN NULL ELSE max(t) + 1 END)::INTEGER AS after FROM u_ranges GROUP BY user_id")
+@query(
+    f"SELECT user_id AS id, (min(f) - 1)::INTEGER AS before, (CASE WHEN max(t) = {H} THEN NULL ELSE max(t) + 1 END)::INTEGER AS after FROM u_ranges GROUP "
+    f"BY user_id"
+)
 def range_neighbours(spark, sf_dir):
     users = sample_graph(spark, sf_dir).nodes["User"].df
     last = R.last_version(F.col("rs"))
@@ -295,7 +337,11 @@ def range_neighbours(spark, sf_dir):
 # -- histories
 
 
-@query("SELECT user_id AS id, count(*)::INTEGER AS n FROM (SELECT *, sum(CASE WHEN pe = event_type AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(event_type) OVER w AS pe FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) WHERE pe IS NULL OR pe <> event_type OR p < f - 1 GROUP BY user_id")
+@query(
+    "SELECT user_id AS id, count(*)::INTEGER AS n FROM (SELECT *, sum(CASE WHEN pe = event_type AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY "
+    "user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(event_type) OVER w AS pe FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) "
+    "WHERE pe IS NULL OR pe <> event_type OR p < f - 1 GROUP BY user_id"
+)
 def history_values(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.get("event_type"))
     return df.select(F.col("path")[0]["id"].alias("id"), F.size(R.values(F.col("value"))).alias("n"))
@@ -326,7 +372,10 @@ def history_split(spark, sf_dir):
     return df.select(F.col("path")[0]["id"].alias("id"), F.explode(R.split(F.col("value"))).alias("h")).select("id", "h.v", "h.f", "h.t")
 
 
-@query("SELECT u.user_id AS id, r.event_type AS v FROM (SELECT DISTINCT user_id FROM u_rows) u LEFT JOIN u_rows r ON u.user_id = r.user_id AND r.f <= 10 AND 10 <= r.t")
+@query(
+    "SELECT u.user_id AS id, r.event_type AS v FROM (SELECT DISTINCT user_id FROM u_rows) u LEFT JOIN u_rows r ON u.user_id = r.user_id AND r.f <= 10 AND "
+    "10 <= r.t"
+)
 def history_asof(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("User") >> t.get("event_type").map(lambda h: R.as_of(h, 10)))
     return df.select(F.col("path")[0]["id"].alias("id"), F.col("value").alias("v"))
@@ -338,7 +387,11 @@ def history_filter(spark, sf_dir):
     return df.select(F.col("path")[0]["id"].alias("id"), F.aggregate("value", F.lit(0), lambda a, x: a + 1).alias("n"))
 
 
-_UNION = "SELECT user_id AS id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f, t) AS g FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT user_id, f, t FROM u_ranges UNION ALL SELECT DISTINCT user_id, 5, 8 FROM u_ranges))) GROUP BY user_id, g"
+_UNION = (
+    "SELECT user_id AS id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f, t) "
+    "AS g FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT user_id, f, "
+    "t FROM u_ranges UNION ALL SELECT DISTINCT user_id, 5, 8 FROM u_ranges))) GROUP BY user_id, g"
+)
 
 
 @query(_UNION)
@@ -373,14 +426,20 @@ _ordered("order_by_history_to", R.by_to, "value", "SELECT user_id, max(t) AS k F
 # -- choice and scope
 
 
-@query("SELECT id AS order_id, o_custkey AS end_id, f::INTEGER AS f, t::INTEGER AS t FROM n_order WHERE o_orderstatus = 'O' UNION ALL SELECT id, o_custkey, f::INTEGER, t::INTEGER FROM n_order WHERE o_totalprice > 250000")
+@query(
+    "SELECT id AS order_id, o_custkey AS end_id, f::INTEGER AS f, t::INTEGER AS t FROM n_order WHERE o_orderstatus = 'O' UNION ALL SELECT id, o_custkey, "
+    "f::INTEGER, t::INTEGER FROM n_order WHERE o_totalprice > 250000"
+)
 def choice(spark, sf_dir):
     hop = t.out("placed_by")
     way = t.V("Order") >> ((t.where("o_orderstatus", lambda v: v == "O") >> hop) | (t.where("o_totalprice", lambda v: v > 250000) >> hop))
     return _ids(t.paths(sample_graph(spark, sf_dir), way), "order_id", "-", "end_id")
 
 
-@query(f"SELECT r_regionkey::BIGINT AS region_id, 1 AS n, 0 AS f, {H} AS t FROM region UNION ALL SELECT r_regionkey, 3, r_regionkey, 90 - r_regionkey FROM region")
+@query(
+    f"SELECT r_regionkey::BIGINT AS region_id, 1 AS n, 0 AS f, {H} AS t FROM region UNION ALL SELECT r_regionkey, 3, r_regionkey, 90 - r_regionkey FROM "
+    f"region"
+)
 def opt(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Region") >> t.out("ring").opt())
     return _ids(df, "region_id", n=F.size("path"))
@@ -408,7 +467,10 @@ def path_state(spark, sf_dir):
     return df.select(F.col("value.path")[0]["id"].alias("id"), F.size("value.path").alias("steps"), F.explode("value.rs").alias("r")).select("id", "steps", "r.f", "r.t")
 
 
-@query("SELECT c_custkey AS id, count(o.id)::INTEGER AS n, coalesce(min(o.id), -1) AS first_id FROM customer LEFT JOIN n_order o ON c_custkey = o.o_custkey GROUP BY c_custkey")
+@query(
+    "SELECT c_custkey AS id, count(o.id)::INTEGER AS n, coalesce(min(o.id), -1) AS first_id FROM customer LEFT JOIN n_order o ON c_custkey = o.o_custkey "
+    "GROUP BY c_custkey"
+)
 def sub_collect_count(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.sub(t.in_("placed_by")))
     return _ids(df, "id", ranges=False, n=F.size("value"), first_id=F.coalesce(F.array_min(F.transform("value", lambda x: x["id"])), F.lit(-1)))
@@ -426,7 +488,10 @@ def matches_not(spark, sf_dir):
     return _ids(t.paths(sample_graph(spark, sf_dir), way), "id", ranges=False)
 
 
-@query("SELECT customer_id, order_id, price FROM (SELECT o_custkey AS customer_id, id AS order_id, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, id) AS rn FROM n_order) WHERE rn <= 2")
+@query(
+    "SELECT customer_id, order_id, price FROM (SELECT o_custkey AS customer_id, id AS order_id, o_totalprice AS price, row_number() OVER (PARTITION BY "
+    "o_custkey ORDER BY o_totalprice DESC, id) AS rn FROM n_order) WHERE rn <= 2"
+)
 def take_per_input(spark, sf_dir):
     best = (t.in_("placed_by") >> t.get("o_totalprice")).descending(R.by_newest_value).take(2)
     df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> best)
@@ -490,13 +555,19 @@ def path_value(spark, sf_dir):
 # -- repetition
 
 
-@query("WITH RECURSIVE walk(a, b, n) AS (SELECT conv_id * 1000 + turn, conv_id * 1000 + turn, 0 FROM conversations UNION ALL SELECT a, dst, n + 1 FROM walk JOIN e_turn ON b = src) SELECT a AS from_id, b AS to_id, n FROM walk")
+@query(
+    "WITH RECURSIVE walk(a, b, n) AS (SELECT conv_id * 1000 + turn, conv_id * 1000 + turn, 0 FROM conversations UNION ALL SELECT a, dst, n + 1 FROM walk "
+    "JOIN e_turn ON b = src) SELECT a AS from_id, b AS to_id, n FROM walk"
+)
 def repeat_star(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Turn") >> t.out("next_turn").many())
     return _ids(df, "from_id", ranges=False, to_id=F.element_at("path", -1)["id"], n=F.size("value"))
 
 
-@query("WITH RECURSIVE walk(a, b, n) AS (SELECT src, dst, 1 FROM e_turn UNION ALL SELECT a, dst, n + 1 FROM walk JOIN e_turn ON b = src) SELECT a AS from_id, b AS to_id, n FROM walk")
+@query(
+    "WITH RECURSIVE walk(a, b, n) AS (SELECT src, dst, 1 FROM e_turn UNION ALL SELECT a, dst, n + 1 FROM walk JOIN e_turn ON b = src) SELECT a AS from_id, "
+    "b AS to_id, n FROM walk"
+)
 def repeat_plus(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Turn") >> t.out("next_turn").many1())
     return _ids(df, "from_id", ranges=False, to_id=F.element_at("path", -1)["id"], n=F.size("value"))
@@ -515,13 +586,19 @@ def repeat_cycle(spark, sf_dir):
 # -- degrees, counts, weights
 
 
-@query("SELECT c_custkey AS id, (SELECT count(*) FROM n_order o WHERE o.o_custkey = c_custkey)::INTEGER AS placed_by, 1 AS in_nation, (SELECT count(DISTINCT user_id) FROM u_rows u WHERE u.user_id = c_custkey)::INTEGER AS is_customer FROM customer")
+@query(
+    "SELECT c_custkey AS id, (SELECT count(*) FROM n_order o WHERE o.o_custkey = c_custkey)::INTEGER AS placed_by, 1 AS in_nation, (SELECT count(DISTINCT "
+    "user_id) FROM u_rows u WHERE u.user_id = c_custkey)::INTEGER AS is_customer FROM customer"
+)
 def degree(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.deg())
     return _ids(df, "id", ranges=False, **{n: F.col("value")[n] for n in ("placed_by", "in_nation", "is_customer")})
 
 
-@query("SELECT n_regionkey::BIGINT AS region_id, n_nationkey::BIGINT AS edge_id, count(*) AS weight, count(*) AS n_paths FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+@query(
+    "SELECT n_regionkey::BIGINT AS region_id, n_nationkey::BIGINT AS edge_id, count(*) AS weight, count(*) AS n_paths FROM customer JOIN nation ON "
+    "c_nationkey = n_nationkey GROUP BY 1, 2"
+)
 def weighted_edges(spark, sf_dir):
     df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.out("in_nation") >> t.out("in_region"))
     w = P.edge_weights(df.select("path")).filter("edge.type = 'in_region'")
@@ -529,17 +606,31 @@ def weighted_edges(spark, sf_dir):
     return w.join(nation, F.col("edge.id") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("long").alias("region_id"), F.col("edge.id").alias("edge_id"), "weight", "n_paths")
 
 
-@query("SELECT * FROM (SELECT 'node' AS kind, 'Region' AS type, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'node', 'Part', count(*) FROM part UNION ALL SELECT 'node', 'Order', count(*) FROM orders UNION ALL SELECT 'node', 'User', count(DISTINCT user_id) FROM u_rows UNION ALL SELECT 'node', 'Turn', count(*) FROM conversations UNION ALL SELECT 'edge', 'placed_by', count(*) FROM orders UNION ALL SELECT 'edge', 'in_nation', count(*) FROM customer UNION ALL SELECT 'edge', 'from_nation', count(*) FROM supplier UNION ALL SELECT 'edge', 'in_region', count(*) FROM nation UNION ALL SELECT 'edge', 'contains', count(*) FROM e_contains UNION ALL SELECT 'edge', 'is_customer', count(DISTINCT user_id) FROM u_rows UNION ALL SELECT 'edge', 'next_turn', count(*) FROM e_turn UNION ALL SELECT 'edge', 'ring', count(*) FROM region)")
+@query(
+    "SELECT * FROM (SELECT 'node' AS kind, 'Region' AS type, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL "
+    "SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'node', 'Part', "
+    "count(*) FROM part UNION ALL SELECT 'node', 'Order', count(*) FROM orders UNION ALL SELECT 'node', 'User', count(DISTINCT user_id) FROM u_rows UNION "
+    "ALL SELECT 'node', 'Turn', count(*) FROM conversations UNION ALL SELECT 'edge', 'placed_by', count(*) FROM orders UNION ALL SELECT 'edge', "
+    "'in_nation', count(*) FROM customer UNION ALL SELECT 'edge', 'from_nation', count(*) FROM supplier UNION ALL SELECT 'edge', 'in_region', count(*) "
+    "FROM nation UNION ALL SELECT 'edge', 'contains', count(*) FROM e_contains UNION ALL SELECT 'edge', 'is_customer', count(DISTINCT user_id) FROM u_rows "
+    "UNION ALL SELECT 'edge', 'next_turn', count(*) FROM e_turn UNION ALL SELECT 'edge', 'ring', count(*) FROM region)"
+)
 def type_counts(spark, sf_dir):
     return sample_graph(spark, sf_dir).type_counts()
 
 
-@query("SELECT 'edge' AS kind, 'in_nation' AS type, c_custkey AS id FROM customer UNION ALL SELECT 'node', 'Customer', c_custkey FROM customer UNION ALL SELECT DISTINCT 'node', 'Nation', c_nationkey FROM customer")
+@query(
+    "SELECT 'edge' AS kind, 'in_nation' AS type, c_custkey AS id FROM customer UNION ALL SELECT 'node', 'Customer', c_custkey FROM customer UNION ALL "
+    "SELECT DISTINCT 'node', 'Nation', c_nationkey FROM customer"
+)
 def distinct_elements(spark, sf_dir):
     return P.distinct_elements(t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.out("in_nation"))).select("kind", "type", "id")
 
 
-@query("SELECT n_regionkey::BIGINT AS region_id, 1 AS depth, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 2, 1 FROM nation UNION ALL SELECT n_regionkey, 3, 1 FROM nation")
+@query(
+    "SELECT n_regionkey::BIGINT AS region_id, 1 AS depth, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, 2, 1 FROM nation UNION ALL "
+    "SELECT n_regionkey, 3, 1 FROM nation"
+)
 def path_prefixes(spark, sf_dir):
     df = P.prefix_counts(t.paths(sample_graph(spark, sf_dir), t.V("Region") >> t.in_("in_region")).select("path"))
     return df.select(F.col("prefix")[0]["id"].alias("region_id"), "depth", "n")
@@ -552,7 +643,10 @@ def _building():
     return t.V("Customer") >> t.where("c_mktsegment", lambda v: v == "BUILDING") >> t.ex("c_custkey") >> t.in_("placed_by") >> t.ex("o_orderkey") >> t.ex("o_totalprice") >> t.ex("o_orderpriority")
 
 
-_T1 = "(SELECT c_custkey, o.id AS o_orderkey, o_totalprice, o_orderpriority, o.f::INTEGER AS VERSION_FROM, o.t::INTEGER AS VERSION_TO FROM customer JOIN n_order o ON c_custkey = o.o_custkey WHERE c_mktsegment = 'BUILDING')"
+_T1 = (
+    "(SELECT c_custkey, o.id AS o_orderkey, o_totalprice, o_orderpriority, o.f::INTEGER AS VERSION_FROM, o.t::INTEGER AS VERSION_TO FROM customer JOIN "
+    "n_order o ON c_custkey = o.o_custkey WHERE c_mktsegment = 'BUILDING')"
+)
 
 
 def _sql(name: str, text: str):
@@ -568,14 +662,24 @@ def extract_flat(spark, sf_dir):
     return from_(_building()).extract("c_custkey", "o_orderkey", "o_totalprice", "o_orderpriority").sql("select * from t1").run(sample_graph(spark, sf_dir))
 
 
-@query(f"SELECT r_name, 0 AS f, {H} AS t, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT r_name, 0, {H}, n_name FROM region JOIN nation ON r_regionkey = n_regionkey AND n_nationkey < 10")
+@query(
+    f"SELECT r_name, 0 AS f, {H} AS t, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT r_name, 0, {H}, n_name FROM region JOIN nation ON r_regionkey = "
+    f"n_regionkey AND n_nationkey < 10"
+)
 def extract_null_label(spark, sf_dir):
     some = t.in_("in_region") >> t.where("n_nationkey", lambda v: v < 10) >> t.ex("n_name") >> t.out("in_region")
     df = from_(t.V("Region") >> t.ex("r_name") >> some.opt()).extract("r_name", "n_name").run(sample_graph(spark, sf_dir))
     return df.select("r_name", "n_name", F.col("`VERSION.FROM`").alias("f"), F.col("`VERSION.TO`").alias("t"))
 
 
-@query("SELECT a.user_id, a.event_type, b.value, greatest(a.f, b.f)::INTEGER AS f, least(a.t, b.t)::INTEGER AS t FROM (SELECT user_id, event_type, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN pe = event_type AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(event_type) OVER w AS pe FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) GROUP BY user_id, event_type, g) a JOIN (SELECT user_id, value, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN pv = value AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(value) OVER w AS pv FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) GROUP BY user_id, value, g) b ON a.user_id = b.user_id AND greatest(a.f, b.f) <= least(a.t, b.t)")
+@query(
+    "SELECT a.user_id, a.event_type, b.value, greatest(a.f, b.f)::INTEGER AS f, least(a.t, b.t)::INTEGER AS t FROM (SELECT user_id, event_type, min(f) AS "
+    "f, max(t) AS t FROM (SELECT *, sum(CASE WHEN pe = event_type AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM "
+    "(SELECT *, lag(t) OVER w AS p, lag(event_type) OVER w AS pe FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) GROUP BY user_id, event_type, "
+    "g) a JOIN (SELECT user_id, value, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN pv = value AND p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION "
+    "BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER w AS p, lag(value) OVER w AS pv FROM u_rows WINDOW w AS (PARTITION BY user_id ORDER BY f))) "
+    "GROUP BY user_id, value, g) b ON a.user_id = b.user_id AND greatest(a.f, b.f) <= least(a.t, b.t)"
+)
 def extract_multi_label(spark, sf_dir):
     df = from_(t.V("User") >> t.ex_all()).extract("user_id", "event_type", "value").run(sample_graph(spark, sf_dir))
     return df.select("user_id", "event_type", "value", F.col("`VERSION.FROM`").alias("f"), F.col("`VERSION.TO`").alias("t"))
@@ -625,8 +729,16 @@ def _history_rows(store: Store) -> DataFrame:
     return store.rows("Account").select(F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "f", "t")
 
 
-_DAYROWS = f"WITH d AS (SELECT user_id, day + 1 AS v, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"
-_FULL = f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))), hist AS (SELECT user_id, event_type, value, min(v)::INTEGER AS f, (CASE WHEN max(v) = (SELECT max(v) FROM d) THEN {H} ELSE max(v) END)::INTEGER AS t FROM runs GROUP BY user_id, event_type, value, g)"
+_DAYROWS = (
+    f"WITH d AS (SELECT user_id, day + 1 AS v, event_type, value FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, "
+    f"value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"
+)
+_FULL = (
+    f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) "
+    f"AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY "
+    f"v))), hist AS (SELECT user_id, event_type, value, min(v)::INTEGER AS f, (CASE WHEN max(v) = (SELECT max(v) FROM d) THEN {H} ELSE max(v) END)::INTEGER "
+    f"AS t FROM runs GROUP BY user_id, event_type, value, g)"
+)
 
 
 @query(f"{_FULL} SELECT * FROM hist")
@@ -639,12 +751,21 @@ def scd2_differential(spark, sf_dir):
     return _history_rows(_loaded(spark, sf_dir, "full", True))
 
 
-@query(f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))), firsts AS (SELECT user_id, event_type, value, g, min(v) AS f FROM runs GROUP BY ALL) SELECT user_id, event_type, value, f::INTEGER AS f, coalesce(lead(f) OVER (PARTITION BY user_id ORDER BY f) - 1, {H})::INTEGER AS t FROM firsts")
+@query(
+    f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM "
+    f"(SELECT *, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))), firsts AS (SELECT user_id, "
+    f"event_type, value, g, min(v) AS f FROM runs GROUP BY ALL) SELECT user_id, event_type, value, f::INTEGER AS f, coalesce(lead(f) OVER (PARTITION BY "
+    f"user_id ORDER BY f) - 1, {H})::INTEGER AS t FROM firsts"
+)
 def scd2_incremental(spark, sf_dir):
     return _history_rows(_loaded(spark, sf_dir, "incremental"))
 
 
-@query(f"{_FULL}, gaps AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM hist), r AS (SELECT user_id, min(f) AS f, max(t) AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM gaps) GROUP BY user_id, g) SELECT user_id, f, t FROM r WHERE user_id IN (SELECT user_id FROM r GROUP BY user_id HAVING count(*) > 1)")
+@query(
+    f"{_FULL}, gaps AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM hist), r AS (SELECT user_id, min(f) AS f, max(t) AS t FROM "
+    f"(SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM gaps) GROUP BY user_id, g) SELECT user_id, f, "
+    f"t FROM r WHERE user_id IN (SELECT user_id FROM r GROUP BY user_id HAVING count(*) > 1)"
+)
 def scd2_revive(spark, sf_dir):
     return _revived(_loaded(spark, sf_dir, "full"))
 
@@ -659,21 +780,27 @@ QUERIES.update({a: QUERIES[n] for a, n in ALIASES.items()})
 ORACLES.update({a: ORACLES[n] for a, n in ALIASES.items()})
 
 
-@query(f"{_DAYROWS}, runs AS (SELECT *, sum(CASE WHEN pv = v - 1 AND pe = event_type AND px = value THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY v) AS g FROM (SELECT *, lag(v) OVER w AS pv, lag(event_type) OVER w AS pe, lag(value) OVER w AS px FROM d WINDOW w AS (PARTITION BY user_id ORDER BY v))) "
-       "SELECT user_id, event_type, value, 11 AS f, 11 AS t FROM d WHERE v = 11")
+@query(f"{_DAYROWS} SELECT user_id, event_type, value, 11 AS f, 11 AS t FROM d WHERE v = 11")
 def stored_as_of(spark, sf_dir):
     """A slice of one version of a stored graph: plain rows, the filter on the ranges is in the scans."""
     store = _loaded(spark, sf_dir, "full")
     return store.read(within=(11, 11)).nodes["Account"].df.select(F.col("p_user_id").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"), "f", "t")
 
 
-@query(f"{_FULL}, cut AS (SELECT user_id, greatest(f, 6) AS f, least(t, 9) AS t FROM hist WHERE f <= 9 AND t >= 6) SELECT user_id, min(f)::INTEGER AS f, max(t)::INTEGER AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY f) AS p FROM cut)) GROUP BY user_id, g")
+@query(
+    f"{_FULL}, cut AS (SELECT user_id, greatest(f, 6) AS f, least(t, 9) AS t FROM hist WHERE f <= 9 AND t >= 6) SELECT user_id, min(f)::INTEGER AS f, "
+    f"max(t)::INTEGER AS t FROM (SELECT *, sum(CASE WHEN p >= f - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY f) AS g FROM (SELECT *, lag(t) "
+    f"OVER (PARTITION BY user_id ORDER BY f) AS p FROM cut)) GROUP BY user_id, g"
+)
 def stored_slice(spark, sf_dir):
     """A slice of several versions of a stored graph: rows are filtered in the scans, then grouped."""
     return _spread(_loaded(spark, sf_dir, "full").read().nodes_at("Account", ((6, 9),)), F.col("p_user_id").alias("user_id"))
 
 
-@query(f"{_DAYROWS} SELECT d.v::INTEGER AS version, d.user_id, d.event_type, d.value FROM d LEFT JOIN d b ON b.user_id = d.user_id AND b.v = d.v - 1 AND b.event_type = d.event_type AND b.value = d.value WHERE b.user_id IS NULL")
+@query(
+    f"{_DAYROWS} SELECT d.v::INTEGER AS version, d.user_id, d.event_type, d.value FROM d LEFT JOIN d b ON b.user_id = d.user_id AND b.v = d.v - 1 AND "
+    f"b.event_type = d.event_type AND b.value = d.value WHERE b.user_id IS NULL"
+)
 def diff_except_all(spark, sf_dir):
     """What each version has that the one before has not, for all versions at once."""
     days = _days(spark, sf_dir).select((F.col("d") + 1).cast("int").alias("version"), F.col("k0").alias("user_id"), F.col("p_event_type").alias("event_type"), F.col("p_value").alias("value"))
@@ -689,7 +816,11 @@ def diff_except(spark, sf_dir):
 _CELLS = ["CASE event_id % 7 WHEN 0 THEN ' 7' WHEN 1 THEN '+7' WHEN 2 THEN 'x' WHEN 3 THEN '-12' WHEN 4 THEN '99999999999' WHEN 5 THEN '' ELSE CAST(user_id AS VARCHAR(20)) END", "CASE event_id % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN '0' WHEN 2 THEN 't' WHEN 3 THEN 'False' ELSE 'yes' END"]
 
 
-@query(f"SELECT event_id, CASE WHEN regexp_full_match(a, '[+-]?[0-9]+') THEN try_cast(a AS INTEGER) END AS i, CASE WHEN lower(b) IN ('true', '1') THEN true WHEN lower(b) IN ('false', '0') THEN false END AS b, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS e FROM (SELECT event_id, event_type, {_CELLS[0]} AS a, {_CELLS[1]} AS b FROM events)")
+@query(
+    f"SELECT event_id, CASE WHEN regexp_full_match(a, '[+-]?[0-9]+') THEN try_cast(a AS INTEGER) END AS i, CASE WHEN lower(b) IN ('true', '1') THEN true "
+    f"WHEN lower(b) IN ('false', '0') THEN false END AS b, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS e FROM (SELECT "
+    f"event_id, event_type, {_CELLS[0]} AS a, {_CELLS[1]} AS b FROM events)"
+)
 def parse_types(spark, sf_dir):
     cells = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.expr(_CELLS[0]).cast("string").alias("a"), F.expr(_CELLS[1]).alias("b"))
     return cells.select("event_id", parse(F.col("a"), "int")["v"].alias("i"), parse(F.col("b"), "boolean")["v"].alias("b"), parse(F.col("event_type"), "enum(click|view|purchase)")["v"].alias("e"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ranges as R
-from palimpsest.operators.migrate import MigrationError, add_rows, migrate, remove_element, rename_element
+from palimpsest.operators.migrate import MigrationError, add_key_property, add_rows, migrate, remove_element, rename_element
 from palimpsest.operators.store import Store
 from palimpsest.plans import traversal as t
 from palimpsest.plans.schema import Edge, Node, Property, Schema
@@ -218,3 +218,27 @@ def test_jobs_age_and_run_again(spark, tmp_path):
         jobs.result(jobs.submit(t.V("N")))
     assert jobs.count() <= 3
     jobs.close()
+
+
+def test_a_key_property_for_all_history(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", WEAK)
+    store.load({"B": _load(spark, B, [("b",)]), "A": _load(spark, A, [("a", "b", "x")]), "ab": _load(spark, AB, [("a", "b", "b", "p")])})
+    store.load({"A": _load(spark, A, [("a", "b", "y")])})
+    new = Schema((Node("B", (P("id", "string"), P("site", "int")), ("id", "site")), WEAK.nodes[1]), WEAK.edges)
+    after = add_key_property(store, new, "B", "site", 7)
+    assert _rows(after, "B") == [("b", 7, 1, R.HEAD)] and _rows(after, "A") == [("a", "b", 7, "x", 1, 1), ("a", "b", 7, "y", 2, R.HEAD)]
+    assert t.paths(after.read(), t.V("A") >> t.out("ab") >> t.where("site", lambda v: v == 7)).count() == 1
+    assert _rows(store, "A", 2) == [("a", "b", "x", 1, 1), ("a", "b", "y", 2, R.HEAD)]
+    with pytest.raises(MigrationError):
+        add_key_property(after, new, "B", "site", 8)
+
+
+def test_drawing(tmp_path, monkeypatch):
+    stub = tmp_path / "dot"
+    stub.write_text('#!/bin/sh\nread first\necho "$1 $first"\n')
+    stub.chmod(0o755)
+    monkeypatch.setenv("PATH", str(tmp_path), prepend=":")
+    assert render.draw("digraph paths {\n}", "svg") == b"-Tsvg digraph paths {\n"
+    for bad in (("png", "dot"), ("svg", "neato")):
+        with pytest.raises(ValueError):
+            render.draw("digraph x {}", *bad)
