@@ -167,6 +167,18 @@ def gram_hashes(words: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np
     return mix64(value)
 
 
+def character_hashes(codes: np.ndarray, n: int, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of every run of n characters, in pieces of a bounded length."""
+    out = []
+    for at in range(0, max(0, len(codes) - n + 1), piece):
+        part = mix64(codes[at : at + piece + n - 1].astype(np.uint64) + np.uint64(1))
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _power_table(_BASE, len(part)), out=prefix[1:])
+        count = len(part) - n + 1
+        out.append(mix64((prefix[n:] - prefix[:-n]) * _power_table(_BASE_INVERSE, len(part))[:count] + np.uint64(n)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def runs(total: int, lengths: np.ndarray) -> np.ndarray:
     """0..lengths[i]-1 for each i, concatenated."""
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)

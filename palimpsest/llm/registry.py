@@ -75,7 +75,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 @query
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = revisit.resolve(captures(table(spark, sf_dir, "pages")))
+    found = revisit.resolve(captures(table(spark, sf_dir, "pages")), only_304=True)
     names = ("cache-control", "content-length", "content-type", "date", "etag", "last-modified", "set-cookie")
     text = F.concat_ws(";", *(F.concat(F.lit(f"{n}="), F.try_element_at("headers", F.lit(n))) for n in names))
     return found.select("record_id", "url_key", "ts", "kind", "outcome", "source_id", F.length("body").cast("long").alias("body_chars"), F.md5("body").alias("body_md5"), text.alias("headers"))

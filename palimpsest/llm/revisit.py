@@ -59,7 +59,7 @@ def _header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name))
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, only_304: bool = False) -> DataFrame:
     """Resolve the revisits among ``records``.
 
     Input columns (others are ignored): ``record_id`` long, ``url`` string, ``ts`` long, ``kind`` string (``response``
@@ -68,8 +68,8 @@ def resolve(records: DataFrame) -> DataFrame:
     ``outcome``, ``source_id``, ``body``, ``headers``.
 
     A full response has kind ``response`` and status 200 and a time; it is its own source (``full``).  Other responses
-    are ``not-full``.  A revisit with another status than 304 (null counts as 304), or whose profile is not "server not
-    modified", is ``not-304`` and stays as it is.  Other revisits take the full response of their canonical URL with the
+    are ``not-full``.  A revisit whose profile is given and is not "server not modified" is ``not-304`` and stays as it
+    is; with ``only_304`` so is one with another status than 304 (null counts as 304).  Other revisits take the full response of their canonical URL with the
     greatest ``ts`` below their own (of equal times the greatest ``record_id``, null least, then the greatest hash of its
     content): ``resolved`` if the revisit names at least one validator (ETag, compared weakly, or Last-Modified) and each
     that both name is equal, with at least one in common; ``mismatch`` otherwise, with the source named but no body.
@@ -83,7 +83,7 @@ def resolve(records: DataFrame) -> DataFrame:
     rows = records.filter(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url").cast("string")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind",
         (F.coalesce((F.col("kind") == "response") & (F.col("status") == 200), F.lit(False)) & F.col("ts").isNotNull() & F.col("url").isNotNull()).alias("full"),
-        ((F.col("kind") == "revisit") & F.coalesce(F.col("status") == 304, F.lit(True)) & F.coalesce(F.lower(profile).rlike(NOT_MODIFIED), F.lit(True))).alias("asks"),
+        ((F.col("kind") == "revisit") & (F.coalesce(F.col("status") == 304, F.lit(True)) | F.lit(not only_304)) & F.coalesce(F.lower(profile).rlike(NOT_MODIFIED), F.lit(True))).alias("asks"),
         F.coalesce(_lower_names(F.col("headers")), empty).alias("headers"), F.col("body").cast("string").alias("body"),
     )
     content = F.xxhash64("url_key", "ts", "record_id", "body", F.array_sort(F.map_entries("headers")))  # tells responses apart

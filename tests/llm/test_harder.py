@@ -85,7 +85,7 @@ def test_latest_response_without_an_id(spark):
         (10, "http://x.org/p", 8, "revisit", 200, e, None, None), (11, "http://x.org/p", 8, "revisit", None, e, None, "http://netpreserve.org/warc/1.1/revisit/server-not-modified"),
         (12, "http://x.org/p", 8, "revisit", 304, e, None, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
     ]
-    got = {r["record_id"]: (r["outcome"], r["source_id"], r["body"]) for r in revisit.resolve(spark.createDataFrame(rows, RECORDS)).filter("kind = 'revisit'").collect()}
+    got = {r["record_id"]: (r["outcome"], r["source_id"], r["body"]) for r in revisit.resolve(spark.createDataFrame(rows, RECORDS), only_304=True).filter("kind = 'revisit'").collect()}
     assert got == {9: ("resolved", None, "new"), 10: ("not-304", None, None), 11: ("resolved", None, "new"), 12: ("not-304", None, None)}
 
 
@@ -392,3 +392,18 @@ def test_stages_bear_awkward_and_empty_tables(spark):
 
 def test_similar_links_of_nothing(spark):
     assert simhash.keep_one(docs(spark, []), similar=True).count() == 0 and jaccard.WORDS == 5
+
+
+def test_documents_are_dropped_alike_by_join_and_by_automaton(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 8))) for _ in range(30)]
+    items = spark.createDataFrame([(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 12)))) for k in range(25)] + [(None, "x y z"), (3, None), (4, " ")], "item_id long, text string")
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 25))) for _ in range(60)] + [x["text"] for x in items.collect() if x["text"]] + [None, ""]
+    rows = docs(spark, texts).unionByName(awkward(spark).select("doc_id", "text", "lang", "source", F.lit(None).cast("long").alias("n_chars")))
+    rows = rows.withColumns({"dk": F.lit(1), "h": F.lit(2), "_held": F.lit("x"), "gid": F.lit(0)})
+    one, many = ({"block_chars": n} for n in (1 << 20, 10))
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(decontamination.contaminations(rows, items, **one)) == as_rows(decontamination.contaminations(rows, items, **many))
+    kept = decontamination.drop_contaminated(rows, items, **many)
+    assert as_rows(decontamination.drop_contaminated(rows, items, **one)) == as_rows(kept) and kept.columns == rows.columns and 5 < kept.count() < rows.count()
+    assert decontamination.contaminations(rows.limit(0), items, **many).count() == 0
