@@ -571,10 +571,9 @@ class Repeat(Traversal):
 
     def run(self, frame: Frame) -> Frame:
         n = next(_serial)
-        seen, acc, size = f"_seen{n}", f"_acc{n}", f"_size{n}"
-        path_type = frame.df.schema["path"].dataType.simpleString()
-        frame = replace(frame, keep=(*frame.keep, seen, size), start=False)
-        level = replace(frame, df=frame.df.withColumns({seen: F.array().cast(f"array<{path_type}>"), size: F.size("path")}))
+        cuts, acc = f"_cuts{n}", f"_acc{n}"  # lengths of the path before each step, and the steps' values
+        frame = replace(frame, keep=(*frame.keep, cuts), start=False)
+        level = replace(frame, df=frame.df.withColumn(cuts, F.array(F.size("path"))))
         probe = self.step.run(level)
         if probe.head != frame.head:
             raise TraversalError("a repeated traversal must end where it begins")
@@ -582,11 +581,13 @@ class Repeat(Traversal):
         none = F.array().cast(f"array<{kind}>")
         level = replace(level, df=level.df.withColumn(acc, none), keep=(*level.keep, acc))
         done = [_branch(level, 0)] if self.with_none else []
+        before = lambda i: F.element_at(F.col(cuts), i)
+        piece = F.slice(F.col("path"), before(-1) + 1, F.greatest(F.size("path") - before(-1), F.lit(0)))
+        earlier = F.filter(F.sequence(F.lit(1), F.size(cuts)), lambda i: i < F.size(cuts))
+        again = F.exists(earlier, lambda i: F.slice(F.col("path"), before(i) + 1, before(i + 1) - before(i)) == piece)
         for depth in count(1):
             went = self.step.run(level)
-            piece = F.slice(F.col("path"), F.col(size) + 1, F.greatest(F.size("path") - F.col(size), F.lit(0)))
-            df = went.df.withColumn("_piece", piece).filter(~F.array_contains(F.col(seen), F.col("_piece")))
-            df = df.withColumns({seen: F.concat(F.col(seen), F.array("_piece")), acc: F.concat(F.col(acc), F.array("result")), size: F.size("path")}).drop("_piece")
+            df = went.df.filter(~again).withColumns({cuts: F.concat(F.col(cuts), F.array(F.size("path"))), acc: F.concat(F.col(acc), F.array("result"))})
             df = df.drop(*(c for c in df.columns if c.startswith("p_")), "_to")
             went = replace(went, df=materialize(df, "level"), attached=False)
             if went.df.isEmpty():
@@ -598,7 +599,7 @@ class Repeat(Traversal):
         if not done:
             done = [_branch(replace(level, df=level.df.filter(F.lit(False))), 0)]
         out = _union(done).value(F.col(acc))
-        return replace(out, df=out.df.drop(seen, acc, size), keep=tuple(k for k in out.keep if k not in (seen, acc, size)))
+        return replace(out, df=out.df.drop(cuts, acc), keep=tuple(k for k in out.keep if k not in (cuts, acc)))
 
 
 # -- operators that look at each incoming path

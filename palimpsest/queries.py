@@ -69,8 +69,8 @@ def _with(sql: str) -> str:
 
 #: Result columns that are 32-bit here and wider in SQL.
 _NARROW = {
-    **dict.fromkeys(("scan_edges", "edges_at_versions", "out_hop", "in_hop", "three_hop", "filter_value"), ("f",)),
-    **dict.fromkeys(("slice_multi", "element_versions", "property_history", "where_history", "history_extract", "history_split", "range_union", "range_intersect"), ("f", "t")),
+    **dict.fromkeys(("scan_edges", "edges_at_versions", "out_hop", "in_hop", "three_hop", "filter_value", "edge_by_id"), ("f",)),
+    **dict.fromkeys(("slice_multi", "element_versions", "property_history", "where_history", "history_extract", "history_split", "range_union", "range_intersect", "element_within", "filter_versioned", "history_versions"), ("f", "t")),
     **dict.fromkeys(("order_by_history_from", "order_by_history_to"), ("k",)),
     "sql_window": ("place",),
 }
@@ -169,8 +169,8 @@ def node_by_id(spark, sf_dir):
 
 
 @query(
-    "SELECT src, dst, qty, f::INTEGER AS f, t::INTEGER AS t FROM e_contains WHERE (src, dst) = (SELECT src, min(dst) FROM e_contains WHERE src = (SELECT "
-    "min(src) FROM e_contains) GROUP BY src)"
+    "SELECT src, dst, qty, f::INTEGER AS f, t::INTEGER AS t FROM e_contains WHERE src = (SELECT min(src) FROM e_contains) "
+    "AND dst = (SELECT min(dst) FROM e_contains WHERE src = (SELECT min(src) FROM e_contains))"
 )
 def edge_between(spark, sf_dir):
     g = sample_graph(spark, sf_dir)
