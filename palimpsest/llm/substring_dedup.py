@@ -259,7 +259,7 @@ def _remove(window: int, bits: int, with_text: bool):
         doc = texts.doc[at]
         on = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (source_place[1:] == source_place[:-1] + 1)
         begin = np.flatnonzero(np.concatenate([[True], ~on])) if len(at) else np.zeros(0, np.int64)
-        end = np.append(begin[1:], len(at)) - 1
+        end = np.append(begin[1:], len(at))[: len(begin)] - 1
         start, stop = at[begin] - texts.first[doc[begin]], at[end] - texts.first[doc[begin]] + window
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
         fields = [pa.array(v, k) for v, k in zip((start, stop, source[begin], source_place[begin]), kinds)]
