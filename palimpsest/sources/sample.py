@@ -44,7 +44,8 @@ def user_rows(events: DataFrame) -> DataFrame:
     return rows.filter("event_type <> 'error'")
 
 
-def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def sample_graph(spark: SparkSession, sf_dir: str, recorded: bool = False) -> Graph:
+    """The graph; with ``recorded`` a user's histories have an entry for each day of ``user_rows``, neighbours of one value too."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     long = lambda c: F.col(c).cast("long")
     always = [F.lit(0).alias("f"), F.lit(R.HEAD).alias("t")]
@@ -69,7 +70,8 @@ def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     @cache
     def users() -> DataFrame:
-        entry = lambda v: R.history(F.collect_list(F.struct("f", "t", F.col(v).alias("v")))).alias(f"p_{v}")
+        order = F.sort_array if recorded else R.history
+        entry = lambda v: order(F.collect_list(F.struct("f", "t", F.col(v).alias("v")))).alias(f"p_{v}")
         return user_rows(table("events")).groupBy("user_id").agg(R.normalize(F.collect_list(F.struct("f", "t"))).alias("rs"), entry("event_type"), entry("value")).select(long("user_id").alias("id"), F.col("user_id").alias("p_user_id"), "p_event_type", "p_value", "rs")
 
     @cache

@@ -5,6 +5,8 @@ import xml.dom.minidom
 from concurrent.futures import CancelledError
 from pathlib import Path
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from palimpsest.plans import traversal as t
 from palimpsest.sources import render
 from palimpsest.sources.sample import SCHEMA, sample_graph
 
-from .helpers import assert_same
+from .helpers import assert_same, canonical
 
 ROOT = Path(__file__).resolve().parent.parent
 SOME = "overlap_hop multi_range_hop where_history intersect_versions history_extract range_union order_by_history_max choice opt sub_collect_count matches_exists take_per_input flat_map switch repeat_cycle degree weighted_edges type_counts extract_null_label extract_multi_label sql_rollup sql_setops scd2_differential scd2_incremental scd2_revive parse_types".split()
@@ -40,6 +42,20 @@ def test_histories_of_every_event_day(spark, sf_dir, tmp_path, name):
     assert_same(df, queries.ORACLES[f"{name}_all_days"], tmp_path)
 
 
+def test_history_filter_counts_days_of_one_value(spark, sf_dir, tmp_path):
+    for p in Path(sf_dir).iterdir():
+        (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "events.parquet").unlink()
+    rows = [(1, "view", 60.0, 1), (2, "click", 60.0, 1), (3, "view", 40.0, 1), (5, "view", 60.0, 1), (6, "error", 60.0, 1), (7, "view", 60.0, 1), (7, "view", 60.0, 1), (1, "view", 60.0, 2), (2, "view", 60.0, 2), (1, "view", 50.0, 3)]
+    events = pd.DataFrame([(i, pd.Timestamp(2024, 1, day), *row) for i, (day, *row) in enumerate(rows)], columns=["event_id", "ts", "event_type", "value", "user_id"])
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    df = queries.QUERIES["history_filter"](spark, f"file://{tmp_path}")
+    assert {x["id"]: x["n"] for x in df.collect()} == {1: 4, 2: 2}
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert canonical(df.toPandas()) == canonical(con.sql(queries.ORACLES["history_filter"]).df())
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLES)
 
