@@ -5,6 +5,9 @@ A traversal takes a frame of paths to a frame of paths.  A frame has one row for
 label and the current value (``result``).  Paths, labels and properties that nothing reads later are pruned by the
 optimizer, so a plan may carry them freely.  As long as every element on the way has one range only, ranges are two
 integer columns (``f``, ``t``) and hops are plain equi-joins; otherwise they are the array ``rs``.
+
+While a path has as many elements in every row they are columns too (``items``), and ``path`` is an array of these: who
+reads one part of one element reads that part only, however many joins lie between.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import ranges as R
 from ..operators.tables import materialize
@@ -39,6 +43,8 @@ class Frame:
     start: bool = False  # the one empty path
     keep: tuple[str, ...] = ()  # columns of enclosing operators
     history: bool = False  # the value is a history
+    items: tuple[str, ...] | None = None  # columns of the path's elements; None: rows may differ in length
+    once: tuple[str, ...] = ()  # labels with exactly one value in every row, which is the column ``v_<name>``
 
     def rs(self) -> Column:
         return F.array(R.span(F.col("f"), F.col("t"))) if self.single else F.col("rs")
@@ -60,6 +66,18 @@ class Frame:
         df = self.df.withColumn("rs", rs).filter(F.size("rs") > 0)
         return replace(self, df=df.drop("f", "t") if self.single else df, single=False)
 
+    def walked(self, df: DataFrame, *elements: Column) -> Frame:
+        """The frame over ``df`` with these elements put on the path."""
+        if self.items is None:
+            return self.set(df.withColumn("path", F.concat("path", F.array(*elements))))
+        more = tuple(f"at{len(self.items) + i}" for i in range(len(elements)))
+        df = df.withColumns(dict(zip(more, elements)))
+        return self.set(df.withColumn("path", F.array(*self.items, *more)), items=(*self.items, *more))
+
+    def loose(self) -> Frame:
+        """The same frame without columns that hold only while all rows are alike."""
+        return replace(self, df=self.df.drop(*(self.items or ()), *(f"v_{n}" for n in self.once)), items=None, once=())
+
     def head_type(self, kind: str | None = None) -> str:
         if self.head is None or (kind and self.head[0] != kind):
             raise TraversalError(f"needs {'an ' if kind == 'edge' else 'a '}{kind or 'path'} at the head, has {self.head}")
@@ -95,7 +113,7 @@ def start(graph: Graph) -> Frame:
         F.array().cast(_path_type(graph)).alias("path"), F.array().cast("array<int>").alias("branch"), F.lit(None).cast(graph.id_type).alias("hid"),
         F.lit(0).alias("f"), F.lit(R.HEAD).alias("t"), F.lit(None).cast("int").alias("result"),
     )
-    return Frame(graph, one, start=True)
+    return Frame(graph, one, start=True, items=())
 
 
 def _branch(frame: Frame, number: int) -> Frame:
@@ -113,7 +131,7 @@ def _match_ranges(frames: list[Frame]) -> list[Frame]:
 
 
 def _union(frames: list[Frame]) -> Frame:
-    frames = _match_ranges(frames)
+    frames = _match_ranges([f.loose() for f in frames])
     first = frames[0]
     if any(f.head != first.head for f in frames):
         raise TraversalError("the ways of a choice must end at one element type")
@@ -149,10 +167,10 @@ class Traversal:
         return Pair(self, other, "left")
 
     def map(self, f: Callable[[Column], Column]) -> Traversal:
-        return Then(self, Step(lambda fr: fr.value(f(F.col("result")))))
+        return Then(self, _Own(lambda fr: fr.value(f(F.col("result")))))
 
     def filter(self, predicate: Callable[[Column], Column]) -> Traversal:
-        return Then(self, Step(lambda fr: fr.set(fr.df.filter(predicate(F.col("result"))))))
+        return Then(self, _Own(lambda fr: fr.set(fr.df.filter(predicate(F.col("result"))))))
 
     with_filter = filter
 
@@ -169,7 +187,7 @@ class Traversal:
         return Then(self, Label(name))
 
     def same_as(self, name: str) -> Traversal:
-        return Then(self, Step(lambda fr: _same_as(fr, name)))
+        return Then(self, _Own(lambda fr: _same_as(fr, name)))
 
     # -- repetition and scoped operators
     def many(self, limit: int | None = None) -> Traversal:
@@ -193,11 +211,11 @@ class Traversal:
 
     # -- temporal filters on the value
     def filter_v(self, predicate: Callable[[Column], Column]) -> Traversal:
-        return Then(self, Step(lambda fr: _filter_v(fr, lambda h: R.normalize(R.keep(h, predicate)))))
+        return Then(self, _Own(lambda fr: _filter_v(fr, lambda h: R.normalize(R.keep(h, predicate)))))
 
     def filter_versioned(self, hit: Callable[[Column], Column]) -> Traversal:
         """Restrict the head to the range set that ``hit`` makes of the value's history."""
-        return Then(self, Step(lambda fr: _filter_v(fr, hit)))
+        return Then(self, _Own(lambda fr: _filter_v(fr, hit)))
 
     def subs(self) -> Traversal:
         """One path for each distinct value of the history: value ``struct<rs,v>``, state as before."""
@@ -210,6 +228,13 @@ class Step(Traversal):
 
     f: Callable[[Frame], Frame]
 
+    def run(self, frame: Frame) -> Frame:
+        return self.f(frame.loose())
+
+
+class _Own(Step):
+    """A step of this module, which leaves the path alone or puts elements on it by ``walked``."""
+
     def run(self, frame: Frame) -> Frame:
         return self.f(frame)
 
@@ -295,13 +320,14 @@ def _scan(kind: str, name: str) -> Traversal:
         item = _element(kind, name, F.col("_id"), True, rs)
         if frame.start:  # nothing to cross with: the scan is the frame
             empty = {c: F.lit(None).cast(t) for c, t in before.dtypes}
-            df = own.withColumns(empty | {"path": F.array(item), "branch": F.array().cast("array<int>")})
+            df = own.withColumns(empty | {"path": F.array().cast(_path_type(frame.graph)), "branch": F.array().cast("array<int>")})
         else:
-            df = before.crossJoin(own).withColumn("path", F.concat("path", F.array(item)))
-        df = df.withColumns({"hid": F.col("_id"), "result": item} | ({"f": F.col("_f"), "t": F.col("_t")} if of.single else {"rs": F.col("_rs")}))
+            df = before.crossJoin(own)
+        frame = frame.walked(df, item)
+        df = frame.df.withColumns({"hid": F.col("_id"), "result": item} | ({"f": F.col("_f"), "t": F.col("_t")} if of.single else {"rs": F.col("_rs")}))
         return frame.set(df.drop("_id", "_f", "_t", "_rs"), head=(kind, name), single=of.single, attached=True, history=False)
 
-    return Step(run)
+    return _Own(run)
 
 
 def V(name: str) -> Traversal:
@@ -333,12 +359,13 @@ def _edge_hop(name: str, forward: bool) -> Traversal:
             df = df.withColumn("rs", R.isect(frame.rs(), there)).filter(F.size("rs") > 0).drop("f", "t")
             rs = F.col("rs")
         item = _element("edge", name, F.col("_id"), forward, rs)
-        df = df.withColumns({"path": F.concat("path", F.array(item)), "hid": F.col("_id"), "result": item, "_to": F.col("_far")})
+        frame = frame.walked(df, item)
+        df = frame.df.withColumns({"hid": F.col("_id"), "result": item, "_to": F.col("_far")})
         if "_to" not in frame.keep:
             frame = replace(frame, keep=(*frame.keep, "_to"))
         return frame.set(df.drop("_id", "_near", "_far", "_f", "_t", "_rs"), head=("edge", name), single=single, attached=True, history=False)
 
-    return Step(run)
+    return _Own(run)
 
 
 def out_e(name: str) -> Traversal:
@@ -361,13 +388,14 @@ def _end(target: bool) -> Traversal:
         df = base.join(own, base["hid"] == own["_e"]).drop("_e")
         return _arrive(frame, df, spec.target if target else spec.source, "_end")
 
-    return Step(run)
+    return _Own(run)
 
 
 def _arrive(frame: Frame, df: DataFrame, node: str, id_column: str) -> Frame:
     rs = F.array(R.span(F.col("f"), F.col("t"))) if frame.single else F.col("rs")
     item = _element("node", node, F.col(id_column), True, rs)
-    df = df.withColumns({"path": F.concat("path", F.array(item)), "hid": F.col(id_column), "result": item})
+    frame = frame.walked(df, item)
+    df = frame.df.withColumns({"hid": F.col(id_column), "result": item})
     return frame.set(df.drop(id_column), head=("node", node), attached=False, history=False)
 
 
@@ -379,7 +407,7 @@ def _known_end(forward: bool) -> Traversal:
         base = frame.df.drop("result", *(c for c in frame.df.columns if c.startswith("p_")))
         return _arrive(frame, base, spec.target if forward else spec.source, "_to")
 
-    return Step(run)
+    return _Own(run)
 
 
 def in_v() -> Traversal:
@@ -400,6 +428,69 @@ def in_(name: str) -> Traversal:
     return Then(in_e(name), _known_end(False))
 
 
+def chain(*hops: tuple[str, bool], parts: int = 1) -> Traversal:
+    """``out`` (edge, True) and ``in_`` (edge, False) in turn, joined from the far end: the same paths as one after the other.
+
+    The later hops are looked up once for each edge of the first and not once for each path, which pays where nodes have
+    very many edges of the first hop.  ``parts``: the paths at one node are dealt out over so many groups, each with a copy
+    of the node's edges, so that few nodes do not mean few tasks.
+    """
+
+    def run(frame: Frame) -> Frame:
+        here, far, all_single = frame.head_type("node"), None, True
+        for i, (name, forward) in enumerate(hops):
+            spec, of = frame.graph.schema.edge(name), frame.graph.edges[name]
+            if here != (spec.source if forward else spec.target):
+                raise TraversalError(f"{name} does not {'start' if forward else 'end'} at {here}")
+            here, single = spec.target if forward else spec.source, all_single and of.single
+            ends = [F.col("src" if forward else "dst").alias(f"_near{i}"), F.col("dst" if forward else "src").alias(f"_far{i}")]
+            bounds = [F.col("f").alias(f"_f{i}"), F.col("t").alias(f"_t{i}")] if single else [of.rs().alias(f"_rs{i}")]
+            own = of.df.select(F.col("id").alias(f"_id{i}"), *ends, *bounds)
+            if far is None:
+                far = own
+            else:
+                if all_single and not single:
+                    far = far.withColumns({f"_rs{j}": F.array(R.span(F.col(f"_f{j}"), F.col(f"_t{j}"))) for j in range(i)})
+                far = far.join(own, far[f"_far{i - 1}"] == own[f"_near{i}"])
+                if single:
+                    far = far.withColumns({f"_f{i}": F.greatest(f"_f{i - 1}", f"_f{i}"), f"_t{i}": F.least(f"_t{i - 1}", f"_t{i}")}).filter(F.col(f"_f{i}") <= F.col(f"_t{i}"))
+                else:
+                    far = far.withColumn(f"_rs{i}", R.isect(F.col(f"_rs{i - 1}"), F.col(f"_rs{i}"))).filter(F.size(f"_rs{i}") > 0)
+            all_single = single
+        last = len(hops) - 1
+        base = frame.df.drop("result", *(c for c in frame.df.columns if c.startswith("p_")))
+        on = F.col("hid") == F.col("_near0")
+        if parts > 1:
+            n = int(frame.graph.spark.conf.get("spark.sql.shuffle.partitions"))
+            told = [F.col(f"{c}.id") for c in frame.items] if frame.items else [F.col("path")]
+            base = base.withColumn("_part", F.pmod(F.xxhash64(*told), F.lit(parts)).cast("int")).repartition(n, "hid", "_part")
+            far = far.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(n, "_near0", "_copy")
+            on = on & (F.col("_part") == F.col("_copy"))
+        df = base.join(far, on)
+        single = frame.single and all_single
+        if single:
+            df = df.filter((F.col("f") <= F.col(f"_t{last}")) & (F.col(f"_f{last}") <= F.col("t")))
+            cut = [F.array(R.span(F.greatest("f", f"_f{i}"), F.least("t", f"_t{i}"))) for i in range(len(hops))]
+        else:
+            there = lambda i: F.array(R.span(F.col(f"_f{i}"), F.col(f"_t{i}"))) if all_single else F.col(f"_rs{i}")
+            df = df.withColumns({f"_cut{i}": R.isect(frame.rs(), there(i)) for i in range(len(hops))}).filter(F.size(f"_cut{last}") > 0)
+            cut = [F.col(f"_cut{i}") for i in range(len(hops))]
+        elements = []
+        for i, (name, forward) in enumerate(hops):
+            spec = frame.graph.schema.edge(name)
+            elements += [_element("edge", name, F.col(f"_id{i}"), forward, cut[i]), _element("node", spec.target if forward else spec.source, F.col(f"_far{i}"), True, cut[i])]
+        gone = [c for c in df.columns if c in ("_part", "_copy") or c.rstrip("0123456789") in ("_near", "_far", "_id", "_f", "_t", "_rs", "_cut")]
+        frame = frame.walked(df, *elements)
+        df = frame.df.withColumns({"hid": F.col(f"_far{last}"), "result": elements[-1]})
+        if single:
+            df = df.withColumns({"f": F.greatest("f", f"_f{last}"), "t": F.least("t", f"_t{last}")})
+        else:
+            df = df.drop("f", "t").withColumn("rs", cut[last])
+        return frame.set(df.drop(*gone), head=("node", here), single=single, attached=False, history=False)
+
+    return _Own(run)
+
+
 def get(prop: str) -> Traversal:
     """The history of a property, cut to the head's ranges."""
 
@@ -411,7 +502,7 @@ def get(prop: str) -> Traversal:
         column = F.col(f"p_{prop}")
         return frame.value(R.stamp(frame.rs(), column) if prop in of.constant else R.limit(column, frame.rs()), True)
 
-    return Step(run)
+    return _Own(run)
 
 
 def _filter_v(frame: Frame, hit: Callable[[Column], Column]) -> Frame:
@@ -435,25 +526,25 @@ def where(prop: str, predicate: Callable[[Column], Column]) -> Traversal:
             return get(prop).run(frame.set(frame.df.filter(predicate(F.col(f"p_{prop}")))))
         return get(prop).filter_v(predicate).run(frame)
 
-    return Step(run)
+    return _Own(run)
 
 
 def path() -> Traversal:
     """The elements of the path, head first."""
-    return Step(lambda fr: fr.value(F.reverse("path")))
+    return _Own(lambda fr: fr.value(F.reverse("path")))
 
 
 def success(value) -> Traversal:
-    return Step(lambda fr: fr.value(value if isinstance(value, Column) else F.lit(value)))
+    return _Own(lambda fr: fr.value(value if isinstance(value, Column) else F.lit(value)))
 
 
 def fail() -> Traversal:
-    return Step(lambda fr: fr.set(fr.df.filter(F.lit(False))))
+    return _Own(lambda fr: fr.set(fr.df.filter(F.lit(False))))
 
 
 def get_state() -> Traversal:
     """The state as the value: path, ranges and labels."""
-    return Step(lambda fr: fr.value(F.struct("path", fr.rs().alias("rs"), *(F.col(f"r_{n}").alias(n) for n in fr.labels))))
+    return _Own(lambda fr: fr.value(F.struct("path", fr.rs().alias("rs"), *(F.col(f"r_{n}").alias(n) for n in fr.labels))))
 
 
 def update_state(f: Callable[[Frame], Frame]) -> Traversal:
@@ -472,21 +563,21 @@ def intersect(*versions: tuple[int, int]) -> Traversal:
             frame = frame.narrow_to(R.isect(frame.rs(), R.normalize(R.ranges(*versions))))
         return frame.value(frame.rs())
 
-    return Step(run)
+    return _Own(run)
 
 
 def versions() -> Traversal:
-    return Step(lambda fr: fr.value(fr.rs()))
+    return _Own(lambda fr: fr.value(fr.rs()))
 
 
 def added() -> Traversal:
     """The first version of the head's (restricted) ranges."""
-    return Step(lambda fr: fr.value(F.col("f") if fr.single else R.first_version(F.col("rs"))))
+    return _Own(lambda fr: fr.value(F.col("f") if fr.single else R.first_version(F.col("rs"))))
 
 
 def removed() -> Traversal:
     """The last version of the head's ranges; ``HEAD`` while it holds."""
-    return Step(lambda fr: fr.value(F.col("t") if fr.single else R.last_version(F.col("rs"))))
+    return _Own(lambda fr: fr.value(F.col("t") if fr.single else R.last_version(F.col("rs"))))
 
 
 def added_after(version: int) -> Traversal:
@@ -524,17 +615,25 @@ class Label(Traversal):
                 raise TraversalError(f"label {self.name} has values of type {was.simpleString()}")
         put = lambda new, c: F.concat(F.array(new), F.coalesce(F.col(c), F.slice(F.array(new), 1, 0))) if known else F.array(new)
         df = frame.df.withColumns({raw: put(F.col("result"), raw), of: put(hist, of)})
-        return replace(frame, df=df, start=False, labels=frame.labels if known else (*frame.labels, self.name))
+        one = f"v_{self.name}"
+        df = df.drop(one) if known else df.withColumn(one, F.col("result"))
+        once = tuple(n for n in frame.once if n != self.name) if known else (*frame.once, self.name)
+        return replace(frame, df=df, start=False, labels=frame.labels if known else (*frame.labels, self.name), once=once)
 
 
 def get_label(name: str) -> Traversal:
     """The values of a label, newest first; empty if it was never given."""
-    return Step(lambda fr: fr.value(F.coalesce(F.col(f"r_{name}"), F.slice(F.col(f"r_{name}"), 1, 0), F.array()) if name in fr.labels else F.array().cast("array<string>")))
+    return _Own(lambda fr: fr.value(F.coalesce(F.col(f"r_{name}"), F.slice(F.col(f"r_{name}"), 1, 0), F.array()) if name in fr.labels else F.array().cast("array<string>")))
 
 
 def _same_as(frame: Frame, name: str) -> Frame:
     if name not in frame.labels:
         return frame.value(F.lit(False))
+    kind, was = frame.df.schema["result"].dataType, F.col(f"v_{name}")
+    if name in frame.once and isinstance(kind, StructType) and frame.df.schema[f"v_{name}"].dataType.simpleString() == kind.simpleString():
+        # part by part, so that no struct is made for each row
+        same = reduce(Column.__and__, (was[x].eqNullSafe(F.col("result")[x]) for x in kind.names))
+        return frame.value(was.isNotNull() & F.col("result").isNotNull() & same)
     return frame.value(F.coalesce(F.array_contains(F.col(f"r_{name}"), F.col("result")), F.lit(False)))
 
 
@@ -550,7 +649,7 @@ def ex_all(prefix: str = "") -> Traversal:
             frame = ex(prop, prefix).run(frame)
         return frame
 
-    return Step(run)
+    return _Own(run)
 
 
 # -- repetition
@@ -572,7 +671,7 @@ class Repeat(Traversal):
     def run(self, frame: Frame) -> Frame:
         n = next(_serial)
         cuts, acc = f"_cuts{n}", f"_acc{n}"  # lengths of the path before each step, and the steps' values
-        frame = replace(frame, keep=(*frame.keep, cuts), start=False)
+        frame = replace(frame.loose(), keep=(*frame.keep, cuts), start=False)
         level = replace(frame, df=frame.df.withColumn(cuts, F.array(F.size("path"))))
         probe = self.step.run(level)
         if probe.head != frame.head:
@@ -693,7 +792,7 @@ def matches(way: Traversal) -> Traversal:
 
 
 def matches_not(way: Traversal) -> Traversal:
-    return Then(Matches(way), Step(lambda fr: fr.value(~F.col("result"))))
+    return Then(Matches(way), _Own(lambda fr: fr.value(~F.col("result"))))
 
 
 def having(way: Traversal) -> Traversal:
@@ -737,7 +836,7 @@ def deg() -> Traversal:
         df = df.withColumn("result", F.map_from_entries(F.transform(F.map_entries(zero), lambda z: F.struct(z["key"].alias("key"), F.coalesce(F.try_element_at(F.col("_deg"), z["key"]), z["value"]).alias("value")))))
         return replace(frame, df=df.drop("_deg", "_key", rid), start=False, history=False)
 
-    return Step(run)
+    return _Own(run)
 
 
 def execute(graph: Graph, traversal: Traversal) -> Frame:

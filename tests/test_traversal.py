@@ -1,13 +1,17 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from palimpsest import queries
 from palimpsest.functions import ranges as R
 from palimpsest.plans import traversal as t
 from palimpsest.plans.graph import Elements, Graph
 from palimpsest.plans.schema import Edge, Node, Property, Schema
+from palimpsest.sources.sample import sample_graph
 
 from . import brute as b
+from .helpers import assert_same
 
 SCHEMA = Schema((Node("N", (Property("key", "long"), Property("p", "int")), ("key",)),), (Edge("e", "N", "N", (), "*", "*"),))
 
@@ -138,3 +142,59 @@ def test_labels_states_and_simple_values(spark):
     assert {r["value"] for r in t.paths(g, t.V("N") >> t.success("x")).collect()} == {"x"}
     state = t.paths(g, t.V("N") >> t.get_state()).first()["value"]
     assert state["path"][0]["kind"] == "node" and state["rs"]
+
+
+def _rows(df):
+    return sorted(str(x) for x in df.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize(
+    ("before", "hops"),
+    [
+        (t.V("Customer") >> t.out("in_nation"), [("from_nation", False), ("from_nation", True)]),
+        (t.V("Customer"), [("placed_by", False), ("contains", True)]),  # ranges of edges meet or do not
+        (t.V("Customer") >> t.intersect((5, 20)), [("placed_by", False), ("placed_by", True)]),
+        (t.V("Customer") >> t.intersect((2, 4), (9, 30)), [("placed_by", False)]),  # several ranges before one
+        (t.V("User"), [("is_customer", True), ("placed_by", False), ("contains", True)]),
+        (t.V("Order"), [("placed_by", True), ("is_customer", False)]),  # one range before several
+        (t.V("Nation") >> (t.in_("from_nation") >> t.out("from_nation")).opt(), [("in_region", True)]),  # paths of two lengths
+    ],
+)
+def test_chain_is_the_hops_in_turn(spark, sf_dir, before, hops, parts):
+    g = sample_graph(spark, sf_dir)
+    plain = before
+    for name, forward in hops:
+        plain = plain >> (t.out(name) if forward else t.in_(name))
+    wanted = _rows(t.paths(g, plain.label("x") >> t.get_label("x")))
+    assert wanted and _rows(t.paths(g, (before >> t.chain(*hops, parts=parts)).label("x") >> t.get_label("x"))) == wanted
+
+
+def test_chain_refuses_what_the_hops_refuse(spark, sf_dir):
+    for hops in ([("from_nation", True)], [("in_nation", False), ("from_nation", True)]):
+        with pytest.raises(t.TraversalError):
+            t.paths(sample_graph(spark, sf_dir), t.V("Nation") >> t.chain(*hops))
+
+
+def test_label_self_join_multiplies_last_and_in_many_tasks(spark, sf_dir):
+    df = queries.QUERIES["label_self_join"](spark, sf_dir)
+    assert_same(df, queries.ORACLES["label_self_join"], sf_dir)
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # 25 nations, one file of customers
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(" not in plan and "array_contains(" not in plan  # nothing is built for each row
+
+
+def test_same_as_compares_whole_values(spark, sf_dir):
+    g = sample_graph(spark, sf_dir)
+    there = t.V("Nation").label("n") >> t.in_("from_nation")
+    found = lambda way: {x["value"] for x in t.paths(g, way).select("value").collect()}
+    assert found(there >> t.out("from_nation").same_as("n")) == {True}
+    assert found(there >> t.out("from_nation") >> t.path().map(lambda p: p[0]).same_as("n")) == {True}
+    assert found(t.V("Nation").label("n") >> t.intersect((3, 4)) >> t.in_("from_nation") >> t.out("from_nation").same_as("n")) == {False}  # fewer versions
+    assert found((there >> t.out("from_nation") >> t.out("in_region")).same_as("n")) == {False}  # another type, ids may agree
+
+
+def test_a_step_of_a_user_may_change_the_path(spark, sf_dir):
+    cut = t.update_state(lambda fr: fr.set(fr.df.withColumn("path", F.slice("path", 3, 1))))
+    df = t.paths(sample_graph(spark, sf_dir), t.V("Customer") >> t.out("in_nation") >> cut >> t.out("in_region"))
+    assert {tuple(e["type"] for e in x["path"]) for x in df.collect()} == {("Nation", "in_region", "Region")}
